@@ -1,11 +1,13 @@
 """The registered queries of the corpus operators, and SQL for those that have some."""
 
 from halyard.llm.mixing import OP9_SQL, op9_mixing
+from halyard.llm.quality import op4_quality
 from halyard.llm.sharding import op7_sharding
 from halyard.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_quality": op4_quality,
     "op7_sharding": op7_sharding,
     "op9_mixing": op9_mixing,
 }
