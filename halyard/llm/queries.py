@@ -1,5 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that have some."""
 
+from halyard.llm.decontaminate import OP8_SQL, op8_decontamination
 from halyard.llm.mixing import OP9_SQL, op9_mixing
 from halyard.llm.quality import op4_quality
 from halyard.llm.sharding import op7_sharding
@@ -9,6 +10,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_quality": op4_quality,
     "op7_sharding": op7_sharding,
+    "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
