@@ -3,6 +3,7 @@
 from halyard.llm.decontaminate import OP8_SQL, op8_decontamination
 from halyard.llm.mixing import OP9_SQL, op9_mixing
 from halyard.llm.quality import op4_quality
+from halyard.llm.repair_ids import op10_token_ids
 from halyard.llm.sharding import op7_sharding
 from halyard.llm.simhash import op1_simhash
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
+    "op10_token_ids": op10_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {"op8_decontamination": OP8_SQL, "op9_mixing": OP9_SQL}
