@@ -1,6 +1,7 @@
 """The registered queries of the corpus operators, and SQL for those that have some."""
 
 from halyard.llm.decontaminate import OP8_SQL, op8_decontamination
+from halyard.llm.langid import op2_langid
 from halyard.llm.mixing import OP9_SQL, op9_mixing
 from halyard.llm.quality import op4_quality
 from halyard.llm.repair_ids import op10_token_ids
@@ -9,6 +10,7 @@ from halyard.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
     "op4_quality": op4_quality,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
