@@ -1,5 +1,6 @@
 """The registered queries of the corpus operators, and SQL for those that have some."""
 
+from halyard.llm.brown import op6_brown_lm
 from halyard.llm.decontaminate import OP8_SQL, op8_decontamination
 from halyard.llm.langid import op2_langid
 from halyard.llm.mixing import OP9_SQL, op9_mixing
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
     "op4_quality": op4_quality,
+    "op6_brown_lm": op6_brown_lm,
     "op7_sharding": op7_sharding,
     "op8_decontamination": op8_decontamination,
     "op9_mixing": op9_mixing,
