@@ -9,6 +9,9 @@ range the rest, and the source is cut where its words reach the budget.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,6 +90,36 @@ def mix(rows: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, ranges:
     return placed.withColumn("taken", taken.cast("long")).drop("s_no", "o_no", "o_range", "mix_key", "mix_range", "mix_offset", "mix_before")
 
 
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its n-th word."""
+    at, end = 0, 0
+    for found in re.finditer(WORD, text):
+        if at == n:
+            break
+        at, end = at + 1, found.end()
+    return text[:end]
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: a row for each time that a document is taken.
+
+    Whole epochs repeat the row; a source's last document is cut after the
+    words that its budget still has.  Documents of no word are not taken.
+    """
+    sized = cut(docs.withColumn("size", n_words("text")), "sized")
+    taken = cut(mix(sized, weights, max_epochs).where("taken > 0"), "mixed")
+    whole = taken.where("taken >= size").withColumn("copy", F.explode(F.expr("sequence(1, taken div size)"))).select(*docs.columns)
+
+    @F.pandas_udf("string")
+    def start(text: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([first_words(t, k) for t, k in zip(text, n)], dtype=object)
+
+    part = taken.where("taken % size > 0").withColumn("text", start("text", F.expr("taken % size")))
+    if "n_chars" in docs.columns:
+        part = part.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return whole.unionByName(part.select(*docs.columns))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", source="source", text="text")
     rows = cut(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
