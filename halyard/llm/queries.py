@@ -2,6 +2,7 @@
 
 from halyard.llm.brown import op6_brown_lm
 from halyard.llm.decontaminate import OP8_SQL, op8_decontamination
+from halyard.llm.html_text import op3_html
 from halyard.llm.langid import op2_langid
 from halyard.llm.mixing import OP9_SQL, op9_mixing
 from halyard.llm.quality import op4_quality
@@ -13,6 +14,7 @@ from halyard.llm.warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
+    "op3_html": op3_html,
     "op4_quality": op4_quality,
     "op5_warc": op5_warc,
     "op6_brown_lm": op6_brown_lm,
