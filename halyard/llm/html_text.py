@@ -287,18 +287,20 @@ class Trees:
 MARK = "\ue000"
 
 
+#: Invented words for generated pages
+_WORDS = ["".join("abdefghiklmnoprstuvwz"[(k * 7919 + j * j * 104729 + k // (j + 2)) % 21] for j in range(2 + k % 7)) for k in range(3000)]
+
+
 def training_page(rng: np.random.Generator) -> str:
     """A generated page whose runs of main text hold MARK."""
     pick_one = lambda xs: xs[int(rng.integers(len(xs)))]
     chance = lambda p: rng.random() < p
-    letters = np.array(list("abdefghiklmnoprstuvwz"))
     loud = chance(0.15)
 
     def words(n):
-        out = ["".join(rng.choice(letters, int(rng.integers(2, 9)))) + (pick_one(["###", "$$$", "%%%"]) if loud and chance(0.5) else "") for _ in range(n)]
-        for k in range(n):
-            if chance(0.12):
-                out[k] += pick_one([",", ".", "."])
+        out = []
+        for k, mark in zip(rng.integers(len(_WORDS), size=n).tolist(), rng.random(n).tolist()):
+            out.append(_WORDS[k] + ("###", "$$$", "%%%")[k % 3] * (loud and k % 2) + (",."[k % 2] if mark < 0.12 else ""))
         return " ".join(out) + pick_one([".", ".", ""])
 
     def element(tag, inner, tokens=(), by_class=True):
