@@ -1,5 +1,6 @@
 """All registered queries of the engine's own operators."""
 
-ENTRY = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from halyard.plans.queries import ORACLE_SQL, QUERIES
+
+ENTRY = "stopping_step_linear"
+__all__ = ["ENTRY", "ORACLE_SQL", "QUERIES"]
