@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from halyard.operators.ranks import with_rank
 
 
-def _first_knot(x: str, zs: list[float]):
+def first_knot(x: str, zs: list[float]):
     return F.size(F.filter(F.array(*[F.lit(float(z)) for z in zs]), lambda z: z < F.col(x)))
 
 
@@ -24,7 +24,7 @@ def cdf_on_grid(df: DataFrame, knots: dict[str, list[float]], y: str) -> DataFra
     """
     spark, names = df.sparkSession, [f"k{d}" for d in range(len(knots))]
     total = df.count()
-    place = [_first_knot(x, zs) for x, zs in knots.items()]
+    place = [first_knot(x, zs) for x, zs in knots.items()]
     inside = functools.reduce(operator.and_, [(F.col(n) < len(zs)) for n, zs in zip(names, knots.values())])
     kept = df.dropna(subset=list(knots))
     sums = kept.select(*[p.alias(n) for n, p in zip(names, place)], F.col(y).alias("v")).where(inside).groupBy(*names).agg(F.sum("v").alias("v"))

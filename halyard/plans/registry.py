@@ -1,5 +1,6 @@
 """All registered queries of the engine's own operators."""
 
+import halyard.plans.geometry  # noqa: F401  (registers its queries)
 from halyard.plans.queries import ORACLE_SQL, QUERIES
 
 ENTRY = "stopping_step_linear"

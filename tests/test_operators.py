@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from halyard.functions import payoffs
 from halyard.functions.polynomials import coefficients
-from halyard.operators import cdf, grids, ranks, regression, stopping
+from halyard.operators import cdf, dominance, grids, kernels, lookups, ranks, regression, stopping
 from halyard.sources import paths
 
 
@@ -84,3 +84,36 @@ def test_american_put(spark):
 def test_payoffs(spark):
     row = spark.range(1).select(payoffs.basket_put(F.array(F.lit(1.0), F.lit(2.0)), 2.0), payoffs.exponential_cdf(F.lit(1.0), 2.0)).first()
     assert row[0] == 0.5 and row[1] == pytest.approx(1 - math.exp(-2))
+
+
+def test_dominance_with_ties_and_nulls(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(rng.integers(0, 6)), float(rng.integers(0, 6)), int(rng.integers(1, 9))) for k in range(90)]
+    df = spark.createDataFrame([*rows, (90, None, 1.0, 5)], "id long, x double, y double, w long")
+    found = {r["id"]: r["s"] for r in dominance.dominated(df, "x", "y", "w", "id").collect()}
+    assert found == {i: sum(v for _, a, b, v in rows if a < x and b < y) for i, x, y, _ in rows}
+
+
+def test_laplacian_grid_sums_reach_beyond_the_outer_knots(spark):
+    rows = [(-3.0, 0.5, 2.0), (1.0, 9.0, 1.0), (0.2, 0.0, 4.0), (None, 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    zs = {"a": [0.0, 1.0, 2.5], "b": [0.0, 1.0]}
+    for r in kernels.laplacian_on_grid(df, zs, "y", [0.5, 2.0]).collect():
+        w = [np.exp(-abs(a - zs["a"][r["k0"]]) / 0.5 - abs(b - zs["b"][r["k1"]]) / 2) for a, b, _ in rows[:3]]
+        assert np.isclose(r["weight"], sum(w)) and np.isclose(r["fit"], np.dot(w, [2, 1, 4]) / sum(w))
+
+
+def test_nearest_in_several_passes_keeps_the_lowest_id(spark):
+    points = spark.createDataFrame([(1, 0.0), (2, 4.9), (3, 9.0)], "id long, x double")
+    centres = spark.createDataFrame([(7, 1.0), (3, -1.0), (5, 5.0), (6, 5.0), (9, 20.0)], "c long, x double")
+    found = {r["id"]: r["nearest"] for r in lookups.nearest(points, centres, ["x"], "id", "c", per_pass=2).collect()}
+    assert found == {1: 3, 2: 5, 3: 5}
+
+
+def test_step_function_before_on_and_after_its_knots(spark):
+    knots = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (4.0, 5.0)], "t double, v double")
+    asked = spark.createDataFrame([(1, -2.0, 2.0), (2, 1.0, 1.0), (3, 0.5, 6.0)], "id long, a double, b double")
+    found = {r["id"]: r["v"] for r in lookups.step_lookup(knots, asked.select("id", F.col("a").alias("t")), "t", "id").collect()}
+    assert found == {1: 1.0, 2: 3.0, 3: 1.0}
+    means = {r["id"]: r["mean"] for r in lookups.step_mean(knots, asked, "t", "v", "a", "b", "id").collect()}
+    assert means[2] == 3.0 and np.isclose(means[1], (3 + 3) / 4) and np.isclose(means[3], (0.5 + 9 + 10) / 5.5)
