@@ -14,7 +14,7 @@ from halyard.llm.decontaminate import without_contaminated
 from halyard.llm.mixing import mixed_documents
 from halyard.llm.quality import Judge, good_documents
 from halyard.llm.repair_ids import encode_documents
-from halyard.llm.simhash import one_of_each_group
+from halyard.llm.shingles import one_of_each_group
 from halyard.session import cut
 
 

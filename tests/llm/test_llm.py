@@ -152,3 +152,35 @@ def test_language_and_model_queries_on_the_small_tables(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.9 * len(rows)
     scored = brown.op6_brown_lm(spark, sf_dir).agg(F.sum("score"), F.sum("base_score")).first()
     assert scored[0] < 0 and scored[1] < 0
+
+
+def test_dedup_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    vocabulary = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(500)]
+    passage = " ".join(rng.choice(vocabulary, 12))
+    out = []
+    for k in range(30):
+        ws = rng.choice(vocabulary, 60 + 4 * k).tolist()
+        out.append(" ".join(ws) + (f" {passage}" if k % 2 else ""))
+        for changes in (1, 2, 3):  # changed further and further: chains, and pairs just below the bound
+            ws[int(rng.integers(len(ws)))] = f"changed{changes}"
+            out.append(" ".join(ws) + (f" {passage}" if k % 3 else ""))
+    out += [*out[:3], None, "", " \n", "one two", "One  two", "one", *[f"{passage} {passage} {w}" for w in vocabulary[:6]]]
+
+    def shingles(text):
+        ws = (text or "").encode().lower().split()
+        return {tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = [shingles(t) for t in out]
+    group = list(range(len(out)))
+    linked = 0
+    for a in range(len(out)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                linked += sets[a] != sets[b]
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    rows = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in enumerate(out)], COLUMNS).repartition(4)
+    kept = corpus_pipeline.dedup(spark, rows, "").collect()
+    assert linked > 40 and sorted(r["doc_id"] for r in kept) == sorted(set(group))
