@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,39 @@ def upper_envelope(particles: DataFrame, cuts: DataFrame, mesh: str, xs: list[st
     return particles.join(cuts, mesh).groupBy(key).agg(F.max(line).alias("value"))
 
 
+def hull(cuts: DataFrame, mesh: str, slope: str, key: str, a0: str = "a0") -> DataFrame:
+    """(mesh, slope, a0): each mesh's cuts on its upper envelope in one dimension.
+
+    Of cuts with equal slope the largest stays.  Cuts are thinned within hash
+    groups of ``key`` first, so that what meets in one task is hulls alone.
+    """
+    schema = f"{mesh} {cuts.schema[mesh].dataType.simpleString()}, {slope} double, {a0} double"
+
+    def envelope(found: pd.DataFrame) -> pd.DataFrame:
+        best = found.groupby(slope, as_index=False)[a0].max()
+        kept: list[tuple[float, float, float]] = []
+        for s, a in zip(best[slope].tolist(), best[a0].tolist()):
+            low = -math.inf  # where this cut overtakes the one before
+            while kept:
+                low = (kept[-1][1] - a) / (s - kept[-1][0])
+                if low > kept[-1][2]:
+                    break
+                kept.pop()
+                low = -math.inf
+            kept.append((s, a, low))
+        return pd.DataFrame({mesh: found[mesh].iloc[: len(kept)].to_numpy(), slope: [k[0] for k in kept], a0: [k[1] for k in kept]})
+
+    lines = cuts.where(F.col(mesh).isNotNull() & F.col(slope).isNotNull() & F.col(a0).isNotNull())
+    lines = lines.select(mesh, F.col(slope).cast("double").alias(slope), F.col(a0).cast("double").alias(a0), F.pmod(F.xxhash64(key), F.lit(64)).alias("part"))
+    thinned = lines.groupBy(mesh, "part").applyInPandas(envelope, schema)
+    return thinned.groupBy(mesh).applyInPandas(envelope, schema)
+
+
+def envelope_at(particles: DataFrame, cuts: DataFrame, mesh: str, x: str, slope: str, key: str, cut_key: str, a0: str = "a0") -> DataFrame:
+    """(key, value): as upper_envelope in one dimension, each particle meeting the hull of its mesh alone."""
+    return upper_envelope(particles, hull(cuts, mesh, slope, cut_key, a0), mesh, [x], [slope], key, a0)
+
+
 def distinct_states(df: DataFrame, within: list[str], xs: list[str], width: float) -> DataFrame:
     """One state, the smallest, for each mesh and each cell of that width."""
     cells = [F.floor(F.col(x) / width + 0.5).alias(f"cell_{x}") for x in xs]

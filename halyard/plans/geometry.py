@@ -71,6 +71,17 @@ def cuts_at_particles(spark, sf_dir):
     return cuts.upper_envelope(particles, planes, "mesh", ["x"], ["s"], "id").withColumn("value", _round("value"))
 
 
+@query("""WITH c AS (SELECT s_nationkey AS mesh, CAST(s_acctbal AS DOUBLE) / 1000 AS v, s_suppkey * 0.01::DOUBLE AS s, CAST(s_suppkey AS DOUBLE) AS a FROM supplier)
+SELECT c_custkey AS id, round(max(v - s * a + s * (CAST(c_acctbal AS DOUBLE) / 10)), 5) AS value FROM customer JOIN c ON mesh = c_nationkey
+GROUP BY 1""")
+def all_cuts_at_particles(spark, sf_dir):
+    key = F.col("s_suppkey").cast("double")
+    planes = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("cut"), F.col("s_nationkey").alias("mesh"), (F.col("s_acctbal").cast("double") / 1000).alias("v"), (key * 0.01).alias("s"), key.alias("a"))
+    planes = planes.withColumn("a0", cuts.intercept(F.col("v"), [F.col("s")], [F.col("a")]))
+    particles = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("mesh"), (F.col("c_acctbal").cast("double") / 10).alias("x"))
+    return cuts.envelope_at(particles, planes, "mesh", "x", "s", "id", "cut").withColumn("value", _round("value"))
+
+
 @query("""SELECT c_nationkey AS mesh, min(CAST(c_acctbal AS DOUBLE)) AS x FROM customer GROUP BY c_nationkey, floor(CAST(c_acctbal AS DOUBLE) / 250.0 + 0.5)""")
 def distinct_states(spark, sf_dir):
     states = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("mesh"), F.col("c_acctbal").cast("double").alias("x"))

@@ -117,3 +117,27 @@ def test_step_function_before_on_and_after_its_knots(spark):
     assert found == {1: 1.0, 2: 3.0, 3: 1.0}
     means = {r["id"]: r["mean"] for r in lookups.step_mean(knots, asked, "t", "v", "a", "b", "id").collect()}
     assert means[2] == 3.0 and np.isclose(means[1], (3 + 3) / 4) and np.isclose(means[3], (0.5 + 9 + 10) / 5.5)
+
+
+def test_whole_cut_table_at_particles(spark):
+    from halyard.operators import cuts
+    from halyard.plans.geometry import all_cuts_at_particles
+
+    sf_dir = "/root/testdata/sf0.01"
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal").collect()
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal").collect()
+    want = {}
+    for c in customers:
+        values = [float(s["s_acctbal"]) / 1000 + 0.01 * s["s_suppkey"] * (float(c["c_acctbal"]) / 10 - s["s_suppkey"]) for s in suppliers if s["s_nationkey"] == c["c_nationkey"]]
+        if values:
+            want[c["c_custkey"]] = max(values)
+    got = {r["id"]: r["value"] for r in all_cuts_at_particles(spark, sf_dir).collect()}
+    assert len(got) == len(want) == len(customers)
+    assert all(abs(got[k] - v) < 1e-4 for k, v in want.items())
+    rng = np.random.default_rng(3)
+    lines = [(k, k % 2, float(s), float(a)) for k, (s, a) in enumerate(zip(rng.integers(-20, 20, 3000) / 4, rng.normal(0, 30, 3000)))]
+    kept = cuts.hull(spark.createDataFrame(lines, "k long, mesh long, s double, a0 double"), "mesh", "s", "k").collect()
+    for mesh in (0, 1):
+        top = lambda x, rows: max(a + s * x for s, a in rows)
+        every, hull = [x[2:] for x in lines if x[1] == mesh], [(r["s"], r["a0"]) for r in kept if r["mesh"] == mesh]
+        assert len(hull) < 41 and all(abs(top(x, every) - top(x, hull)) < 1e-9 for x in np.linspace(-100, 100, 401))
