@@ -4,8 +4,8 @@ Texts are lower-cased and every run of characters other than letters counts as
 one blank.  A suffix automaton of each language's labelled text accepts that
 text's substrings.  Another text is parsed greedily into the longest phrases that a
 language's text contains; the fewer phrases, normalised by the length of the
-language's text, the closer the two.  The automata are completed to one dense
-table, so that all languages parse many texts at once, a character per step.
+language's text, the closer the two.  Every label is learned and every letter of
+its sample has a symbol.  An automaton parses many texts at once, a character per step.
 """
 
 from __future__ import annotations
@@ -24,43 +24,83 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 64
 DOC_CHARS = 1024
 TRAIN_CHARS = 16384
-#: Languages that are learned at most, the most frequent labels first
-MAX_LANGUAGES = 256
-#: Most frequent characters that have a symbol of their own
-SYMBOLS = 60
+#: Cells of all languages' dense tables together; a language whose share is too small has a sparse one
+DENSE_CELLS = 1 << 25
 #: A text is parsed in blocks of so many characters; no phrase spans two
 BLOCK = 512
 
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(symbols: list[int], size: int) -> np.ndarray:
-    """Transitions [state, symbol] of the automaton of all substrings, -1 where there is none."""
-    step = np.full((2 * len(symbols) + 2, size), -1, np.int32)
-    link, length, states, last = [-1], [0], 1, 0
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Each state's transitions {symbol: state} in the automaton of all substrings."""
+    step: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in symbols:
-        new, states = states, states + 1
+        new = len(step)
+        step.append({})
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p != -1 and step[p, c] < 0:
-            step[p, c] = new
+        while p != -1 and c not in step[p]:
+            step[p][c] = new
             p = link[p]
         if p != -1:
-            q = int(step[p, c])
+            q = step[p][c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                twin, states = states, states + 1
-                step[twin] = step[q]
+                twin = len(step)
+                step.append(dict(step[q]))
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p != -1 and step[p, c] == q:
-                    step[p, c] = twin
+                while p != -1 and step[p].get(c) == q:
+                    step[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return step[:states]
+    return step
+
+
+class Automaton:
+    """One language's automaton over its own letters: a dense table, or sorted transitions where that were too large."""
+
+    def __init__(self, coded: np.ndarray, size: int, cells: int):
+        letters = np.unique(coded[coded > 1])
+        #: 0 is a blank, 1 any letter that the language lacks; the last symbol stands after a text's end
+        self.local = np.ones(size, np.int32)
+        self.local[0], self.local[letters], self.local[-1] = 0, np.arange(2, len(letters) + 2), len(letters) + 2
+        self.size = len(letters) + 3
+        states = suffix_automaton(self.local[coded].tolist())
+        at = np.array([k * self.size + c for k, row in enumerate(states) for c in row], np.int64)
+        to = np.array([t for row in states for t in row.values()], np.int64)
+        root = np.full(self.size, -1, np.int64)
+        root[list(states[0])] = list(states[0].values())
+        # no longer phrase: it ends here, and the character begins the next one, or is one if the language lacks it
+        self.miss = (np.maximum(root, 0) * self.size << 2) | (1 + (root < 0))
+        self.table = None
+        if len(states) * self.size <= cells:
+            self.table = np.tile(self.miss, len(states))
+            self.table[at] = to * self.size << 2
+            self.table[: self.size][root < 0] = 1
+            self.table[self.size - 1 :: self.size] = np.arange(len(states)) * self.size << 2
+            if self.table.max() < 2**31:
+                self.table = self.table.astype(np.int32)
+        else:
+            order = np.argsort(at)
+            self.at, self.to = at[order], to[order] * self.size << 2
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states, shifted by two bits, with the phrases that end; states are multiples of size."""
+        if self.table is not None:
+            return self.table[state + symbol]
+        if not len(self.at):
+            got = np.where(state == 0, 1, self.miss[symbol])
+        else:
+            key = state + symbol
+            k = np.minimum(np.searchsorted(self.at, key), len(self.at) - 1)
+            got = np.where(self.at[k] == key, self.to[k], np.where(state == 0, 1, self.miss[symbol]))
+        return np.where(symbol == self.size - 1, state << 2, got)
 
 
 class Languages:
@@ -70,28 +110,13 @@ class Languages:
         self.names = sorted(samples)
         texts = {name: samples[name].lower()[:TRAIN_CHARS] for name in self.names}
         self.chars = np.array([max(2, len(texts[n])) for n in self.names])
-        points, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-        usual = [p for p in points[np.argsort(-counts, kind="stable")].tolist() if chr(p).isalpha()][:SYMBOLS]
-        #: 0 is a blank, 1 any letter that has no symbol of its own; the last symbol stands after a text's end
-        self.symbol_of = np.fromiter((chr(p).isalpha() for p in range(0x110000)), np.uint8, 0x110000)
+        points = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le", "surrogatepass"), np.uint32))
+        usual = [p for p in points.tolist() if chr(p).isalpha()]
+        #: 0 is a blank, 1 any letter that no sample has; the last symbol stands after a text's end
+        self.symbol_of = np.fromiter((chr(p).isalpha() for p in range(0x110000)), np.int32, 0x110000)
         self.symbol_of[usual] = np.arange(2, len(usual) + 2)
         self.size = len(usual) + 3
-        tables, self.roots, base = [], [], 0
-        for name in self.names:
-            step = suffix_automaton(self.symbols(texts[name]).tolist(), self.size)
-            root = step[0].copy()
-            missing = step < 0
-            # no longer phrase: it ends here, and the character begins the next one, or is one if the language lacks it
-            to = np.where(missing, np.maximum(root, 0)[None, :], step)
-            ended = missing.astype(np.int64) + (missing & (root < 0)[None, :])
-            ended[0] = root < 0
-            to[:, -1], ended[:, -1] = np.arange(len(step)), 0
-            tables.append(((to.astype(np.int64) + base) * self.size << 2) | ended)
-            self.roots.append(base * self.size)
-            base += len(step)
-        flat = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int64)
-        self.table = flat.astype(np.int32) if not len(flat) or flat.max() < 2**31 else flat
-        self.root = np.array(self.roots, self.table.dtype)[:, None]
+        self.automata = [Automaton(self.symbols(texts[name]), self.size, DENSE_CELLS // len(self.names)) for name in self.names]
 
     def symbols(self, text: str) -> np.ndarray:
         found = self.symbol_of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -103,20 +128,21 @@ class Languages:
         """[language, text]: phrases of each text's greedy parse."""
         coded = [self.symbols(t.lower()) for t in texts]
         lanes = [max(1, -(-len(c) // BLOCK)) for c in coded]
-        grid = np.full((sum(lanes), BLOCK), self.size - 1, np.uint8)
+        grid = np.full((sum(lanes), BLOCK), self.size - 1, np.int32)
         flat, at = grid.ravel(), 0
         for c, n in zip(coded, lanes):
             flat[at : at + len(c)] = c
             at += n * BLOCK
-        steps = np.ascontiguousarray(grid.T)
-        longest = max((len(c) for c in coded), default=0)
-        state = np.repeat(self.root, grid.shape[0], axis=1)
-        count = np.zeros(state.shape, np.int64)
-        for k in range(min(BLOCK, longest)):
-            got = self.table[state + steps[k][None, :]]
-            count += got & 3
-            state = got >> 2
-        count += state != self.root
+        longest = min(BLOCK, max((len(c) for c in coded), default=0))
+        steps = np.ascontiguousarray(grid.T[:longest])
+        count = np.zeros((len(self.automata), grid.shape[0]), np.int64)
+        for found, automaton in zip(count, self.automata):
+            state = np.zeros(grid.shape[0], np.int64 if automaton.table is None else automaton.table.dtype)
+            for symbol in automaton.local[steps]:
+                got = automaton.step(state, symbol)
+                found += got & 3
+                state = got >> 2
+            found += state != 0
         return np.add.reduceat(count, np.concatenate([[0], np.cumsum(lanes)[:-1]]), axis=1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -151,7 +177,7 @@ def learn(docs: DataFrame) -> tuple:
     by a hash of the id below a bound set from the label's count.
     """
     usable = docs.where("text is not null and lang is not null")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").count().collect()
     if not counts:
         return ()
     rates = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * SAMPLE_DOCS / r["count"]) for r in counts], "lang string, rate double")

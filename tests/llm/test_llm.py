@@ -184,3 +184,21 @@ def test_dedup_stage_against_all_pairs(spark):
     rows = spark.createDataFrame([(k, t, "en", "a", len(t or "")) for k, t in enumerate(out)], COLUMNS).repartition(4)
     kept = corpus_pipeline.dedup(spark, rows, "").collect()
     assert linked > 40 and sorted(r["doc_id"] for r in kept) == sorted(set(group))
+
+
+def test_languages_of_many_scripts_and_many_labels(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    scripts = {"la": (97, 26), "ru": (0x430, 32), "el": (0x3B1, 24), "hy": (0x561, 38), "ka": (0x10D0, 33), "he": (0x5D0, 27), "zh": (0x4E00, 3000), "ja": (0x6000, 2000)}
+
+    def text(low, n):
+        return " ".join("".join(chr(low + int(c)) for c in rng.integers(0, n, 4)) for _ in range(80))
+
+    samples = {k: " ".join(text(*v) for _ in range(10)) for k, v in scripts.items()}
+    fresh = {k: text(*v) for k, v in scripts.items()}
+    found = langid.Languages(samples).predict(list(fresh.values()))
+    assert [x for x, _ in found] == list(fresh)
+    dense, some = langid.Languages(samples).phrases([*fresh.values(), "a", "?"]), [*fresh.values(), "a", "?"]
+    monkeypatch.setattr(langid, "DENSE_CELLS", 0)
+    assert (langid.Languages(samples).phrases(some) == dense).all()
+    rows = [(k, "some words here", f"x{k % 300}", "a", 15) for k in range(600)]
+    assert len(langid.learn(spark.createDataFrame(rows, COLUMNS))) == 300
