@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -196,11 +197,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each near-duplicate group, with all its columns.
+    """One row of each near-duplicate group, with all its columns: the smallest id's, and of its texts the smallest set's.
 
-    Of rows that repeat an id one stays.  Rows without an id can't be named as
+    Rows that repeat an id stay if their texts are of different groups; of rows
+    that repeat an id and a set one stays.  Rows without an id can't be named as
     their group's row: they belong to no group and stay.
     """
-    least = groups(docs, id_col, text_col).groupBy("component").agg(F.min("least").alias("first_id")).select("first_id").distinct()
-    kept = docs.join(least, F.col(id_col).cast("long") == F.col("first_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+    @F.pandas_udf("long")
+    def set_of(text: pd.Series) -> pd.Series:
+        return pd.Series([_key(shingle_set(t)) for t in text], dtype="int64")
+
+    least = groups(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct("least", "set")).alias("first"))
+    least = cut(least.select(F.col("first.least").alias("first_id"), F.col("first.set").alias("first_set")), "firsts")
+    kept = docs.join(least.select("first_id").distinct(), F.col(id_col).cast("long") == F.col("first_id"), "left_semi")
+    kept = cut(kept.withColumn("first_set", set_of(F.col(text_col).cast("string"))), "first-rows")
+    kept = kept.join(least, (F.col(id_col).cast("long") == F.col("first_id")) & (kept["first_set"] == least["first_set"]), "left_semi")
+    return kept.dropDuplicates([id_col, "first_set"]).drop("first_set").unionByName(docs.where(F.col(id_col).isNull()))

@@ -202,3 +202,13 @@ def test_languages_of_many_scripts_and_many_labels(spark, monkeypatch):
     assert (langid.Languages(samples).phrases(some) == dense).all()
     rows = [(k, "some words here", f"x{k % 300}", "a", 15) for k in range(600)]
     assert len(langid.learn(spark.createDataFrame(rows, COLUMNS))) == 300
+
+
+def test_dedup_stage_keeps_unrelated_texts_of_one_id(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "abc")
+    rows = [(1, one), (1, two), (1, two), (2, two), (2, three), (3, three), (None, one)]
+    kept = corpus_pipeline.dedup(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS).repartition(3), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, one), (1, one), (1, two), (2, three)]
+    assert len(kept[0]) == 5
