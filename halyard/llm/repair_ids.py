@@ -1,19 +1,23 @@
 """Token-ID output as Re-Pair grammars.
 
 Texts are encoded in ascending id order and cut into shards.  In each shard the
-most frequent pairs of neighbouring symbols are replaced by nonterminals, round
-after round; rules, expansion lengths and each document's place are stored, so
-any document is decoded without its neighbours.  A round takes many pairs at
-once: as no symbol is the first of one chosen pair and the second of another,
-occurrences never overlap and a round is a few array operations.
+most frequent pairs of neighbouring symbols are replaced by nonterminals until
+none is frequent enough to save what its rule costs; rules, expansion lengths and
+each document's place are stored, so any document is decoded without its
+neighbours.  A round takes many pairs at once, all at least as frequent as its
+level: every symbol is the first, the second or both of its most frequent pair
+alone, so occurrences never overlap and a round is a few array operations.
 """
 
 from __future__ import annotations
 
+import json as json_format
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,60 +26,105 @@ from halyard.session import scratch
 
 END_ID = 1
 SHARD_IDS = 1 << 20
-ROUNDS = 6
-PAIRS_PER_ROUND = 1024
-LEAST_COUNT = 16
+#: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 or 3: a pair met less often would cost more than it saves
+LEAST_COUNT = 5
+#: The level of a round falls by this factor when a round replaces less than 1 symbol in FEW
+FALL = 8
+FEW = 200
+#: Bytes of text that a task encodes, in its sorted range of ids
+RANGE_BYTES = 64 << 20
 #: Distinct words whose ids a worker remembers; it starts anew when there are more
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 LONGEST_CACHED = 64
+#: Rows that are encoded together, and words that are given to the tokenizer as one text
+BATCH_ROWS = 1024
+JOINED_WORDS = 4096
 
 _HASH_BITS = 20
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A bin for each pair of uint32 symbols."""
+    h = (a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B))
+    return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _HASH_BITS)
+
+
+def _places(seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a pair starts: not at a document's end and, in a run of one symbol, at every other place."""
+    ok = np.ones(len(seq) - 1, bool)
+    ok[ends[(ends > 0) & (ends < len(seq))] - 1] = False
+    at = np.nonzero((seq[:-1] == seq[1:]) & ok)[0]
+    if len(at):
+        start = np.concatenate([[True], np.diff(at) != 1])
+        run = at[start][np.cumsum(start) - 1]
+        ok[at[(at - run) & 1 == 1]] = False
+    return ok
+
+
+def _chosen(pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs, the most frequent first, those that are the best of both their symbols; ``size`` is above all symbols."""
+    a, b = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    rank, twin = np.arange(len(pairs)), a == b
+    first, second, both = (np.full(size, len(pairs)) for _ in range(3))
+    np.minimum.at(both, a[twin], rank[twin])
+    np.minimum.at(first, a[~twin], rank[~twin])
+    np.minimum.at(second, b[~twin], rank[~twin])
+    best = np.minimum(first, second)
+    good = np.where(twin, both[a] < best[a], (first[a] < np.minimum(second, both)[a]) & (second[b] < np.minimum(first, both)[b]))
+    return a[good].astype(np.uint32), b[good].astype(np.uint32)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, document ends in symbols) of uint32 ids.
 
     ``ends`` are the documents' ends in ids; no pair spans two documents.  Rule
-    k, a row of two symbols, is that of nonterminal first_free + k.
+    k, a row of two symbols, is that of nonterminal first_free + k.  In the
+    result no pair of neighbours occurs ``least`` times.
     """
-    seq, ends = ids.astype(np.int64), ends.astype(np.int64)
-    rules: list[tuple[int, int]] = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        inner = np.ones(len(seq), bool)
-        inner[ends[ends > 0] - 1] = False
-        inner[-1] = False
-        left, right = seq[:-1], seq[1:]
-        hashed = (left * 0x9E3779B1 + right * 0x85EBCA6B >> 7) & ((1 << _HASH_BITS) - 1)
-        often = np.bincount(hashed[inner[:-1]], minlength=1 << _HASH_BITS)
-        # a pair can't be more frequent than its bin: look at the bins of the largest counts only
-        bar = max(LEAST_COUNT, int(np.partition(often, -2 * PAIRS_PER_ROUND)[-2 * PAIRS_PER_ROUND]))
-        at = np.nonzero(inner[:-1] & (often[hashed] >= bar))[0]
-        pairs = left[at] << 32 | right[at]
-        found, number, count = np.unique(pairs, return_inverse=True, return_counts=True)
-        role: dict[int, int] = {}
-        chosen = np.full(len(found), -1, np.int64)
-        n = 0
-        for k in np.argsort(-count, kind="stable")[: 2 * PAIRS_PER_ROUND].tolist():
-            a, b = int(found[k]) >> 32, int(found[k]) & 0xFFFFFFFF
-            if count[k] < LEAST_COUNT or n == PAIRS_PER_ROUND:
+    seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
+    rules, size, level = [np.zeros((0, 2), np.uint32)], first_free, None
+    while len(seq) > 1:
+        left, right, ok = seq[:-1], seq[1:], _places(seq, ends)
+        h = _bins(left, right)
+        h[~ok] = 0
+        often = np.bincount(h, minlength=1 << _HASH_BITS)
+        often[0] -= len(ok) - int(ok.sum())
+        if level is None:
+            level = max(least, int(often.max()) // FALL)
+        # a pair can't be more frequent than its bin
+        at = np.nonzero((often >= level)[h] & ok)[0]
+        keys = np.sort(left[at].astype(np.uint64) << np.uint64(32) | right[at])
+        edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(keys)))
+        found, count = keys[edge][count >= level], count[count >= level]
+        taken = 0
+        if len(found):
+            a, b = _chosen(found[np.argsort(-count, kind="stable")], size)
+            # of chosen pairs in one bin the most frequent goes first; the others have a later round
+            bins, slot = _bins(a, b), np.full(1 << _HASH_BITS, -1, np.int32)
+            slot[bins[::-1]] = np.arange(len(a))[::-1]
+            own = slot[bins] == np.arange(len(a))
+            a, b = a[own], b[own]
+            slot[bins] = -1
+            slot[bins[own]] = np.arange(len(a))
+            k = slot[h[at]]
+            at, k = at[k >= 0], k[k >= 0]
+            same = (left[at] == a[k]) & (right[at] == b[k])
+            at, k = at[same], k[same]
+            taken = len(at)
+            seq[at] = (size + k).astype(np.uint32)
+            keep = np.ones(len(seq), bool)
+            keep[at + 1] = False
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+            seq = seq[keep]
+            rules.append(np.stack([a, b], 1))
+            size += len(a)
+        if taken * FEW < len(seq):
+            if level > least:
+                level = max(least, level // FALL)
+            elif not taken:
                 break
-            if a != b and role.get(a, 1) == 1 and role.get(b, 2) == 2:
-                role[a], role[b] = 1, 2
-                chosen[k] = first_free + len(rules)
-                rules.append((a, b))
-                n += 1
-        if not n:
-            break
-        to = chosen[number]
-        at, to = at[to >= 0], to[to >= 0]
-        seq[at] = to
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-        seq = seq[keep]
-    return seq.astype(np.uint32), np.array(rules, np.uint32).reshape(-1, 2), ends
+    return seq, np.concatenate(rules).astype(np.uint32), ends
 
 
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
@@ -118,41 +167,153 @@ class Grammar:
         return out
 
 
+#: The tokenizer files whose ids are those of their white-space-separated words one after the other: these two steps
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Stands between words that are encoded as one text; words that hold it are encoded alone
+_BETWEEN = "\x01"
+#: Punctuation that ends words: never in one piece with the letters before it
+_TAIL = ".,!?;:"
+
+
 class Encoder:
-    """Ids as little-endian uint32 bytes; words met before are not encoded again.
+    """Ids of texts as uint32 arrays; words met before are not encoded again.
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words one after the other.
+    With the word tokenizer a text's ids are those of its words, and a word's
+    are those of its letters and of the marks behind them.  Words of a-z alone,
+    which its normalizer and splitter leave as they are, skip both; other words
+    of letters go in one text and are told apart by the ends of words; the rest
+    by a mark between them.  Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, json: str, end_id: int = END_ID):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(json)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[bytes, bytes] = {}
-        self.end = np.array([end_id], "<u4").tobytes()
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [b"" if t is None else t.encode("utf-8", "replace") for t in texts]
-        split = [t.split() for t in split]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        read = json_format.loads(json)
+        self.full, self.end_id = Tokenizer.from_str(json), end_id
+        self.size = max(self.full.get_vocab_size(with_added_tokens=True), end_id + 1)
+        suffix = read["model"].get("end_of_word_suffix")
+        self.by_word = read.get("normalizer") == WORD_NORMALIZER and read.get("pre_tokenizer") == WORD_SPLITTER and bool(suffix)
+        self.special = [t["content"] for t in read.get("added_tokens", [])]
+        if self.by_word:
+            self.lean = Tokenizer.from_str(json)
+            self.lean.normalizer = None
+            self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends_word = np.zeros(self.size, bool)
+            self.ends_word[[k for w, k in read["model"]["vocab"].items() if w.endswith(suffix)]] = True
+            self.mark = self.full.encode(_BETWEEN, add_special_tokens=False).ids
+            self.ends: dict[str, bool] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Piece number -> ids: piece 0 has none, piece 1 is the document's end."""
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.lengths, self.n_flat, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, 0
+        self._learn(np.array([self.end_id]), np.array([0, 1]))
+
+    def _ends_letters(self, c: str) -> bool:
+        """Whether a word's piece that ends in this character ends before a mark."""
+        if c not in self.ends:
+            read = self.full.normalizer.normalize_str(f"{c}.")
+            self.ends[c] = self.full.pre_tokenizer.pre_tokenize_str(read)[-1][0] == "."
+        return self.ends[c]
+
+    def _learn(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        while self.n_flat + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(lengths) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.n_flat : self.n_flat + len(ids)] = ids
+        self.starts[self.n : self.n + len(lengths)] = self.n_flat + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + len(lengths)] = lengths
+        self.n_flat, self.n = self.n_flat + len(ids), self.n + len(lengths)
+
+    @staticmethod
+    def _ids(found) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *[np.array(e.ids, np.int64) for e in found]])
+
+    def _joined(self, words: list[str], tokenizer, sep: str):
+        return self._ids(tokenizer.encode_batch_fast([sep.join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)], add_special_tokens=False))
+
+    def _of_letters(self, words: list[str], tokenizer) -> bool:
+        """Learns words of one piece each; not if the pieces are more or fewer."""
+        ids = self._joined(words, tokenizer, " ")
+        last = np.nonzero(self.ends_word[ids])[0] if len(ids) else np.zeros(0, np.int64)
+        if len(last) != len(words):
+            return False
+        self._learn(ids, np.diff(np.concatenate([[-1], last])))
+        return True
+
+    def _any(self, words: list[str]) -> None:
+        """Learns words of whatever characters."""
+        able = len(self.mark) == 1 and not any(_BETWEEN in w or any(t in w for t in self.special) for w in words)
+        for k in range(0, len(words), JOINED_WORDS):
+            part = words[k : k + JOINED_WORDS]
+            ids = self._joined(part, self.full, f" {_BETWEEN} ") if able else np.zeros(0, np.int64)
+            at = np.nonzero(ids == self.mark[0])[0] if able else ids
+            if able and len(at) == len(part) - 1:
+                lengths = np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+                self._learn(np.delete(ids, at), lengths)
+            else:
+                found = [np.array(e.ids, np.int64) for e in self.full.encode_batch_fast(part, add_special_tokens=False)]
+                self._learn(np.concatenate(found), np.array([len(f) for f in found]))
+
+    def _add(self, pieces: list[str]) -> None:
+        """Numbers pieces that are not known yet."""
+        plain, letters, rest = [], [], []
+        for w in pieces:
+            (plain if w.isascii() and w.isalpha() else letters if w.isalpha() else rest).append(w)
+        for words, read, tokenizer in ((plain, [w.lower() for w in plain], self.lean), (letters, letters, self.full)):
+            if words and self._of_letters(read, tokenizer):
+                self.known.update(zip(words, range(self.n - len(words), self.n)))
+            else:
+                rest += words
+        if rest:
+            self._any(rest)
+            self.known.update(zip(rest, range(self.n - len(rest), self.n)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each text's number of ids), end ids included."""
+        if not self.by_word:
+            found = self.full.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+            parts = [np.array([*e.ids, self.end_id], np.uint32) for e in found]
+            return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list({w for ws in split for w in ws}.difference(self.known))
-        known = self.known
-        known.update(zip(new, self._encode(new)))
-        out = [b"".join([known[w] for w in ws]) + self.end for ws in split]
+            self._forget()
+        known, apart = self.known, self._ends_letters
+        heads = [h if len(h := w.rstrip(_TAIL)) < len(w) and h and apart(h[-1]) else w for w in words]
+        tails = [w[len(h) :] for w, h in zip(words, heads)]
+        new = [p for p in {*heads, *tails} if p not in known]
+        if new:
+            self._add(new)
+        piece = np.empty((len(words), 2), np.int64)
+        piece[:, 0] = [known[p] for p in heads]
+        piece[:, 1] = [known[p] for p in tails]
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
-        return out
+        # the pieces of all words in order, an end behind each text
+        of = piece[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        of = np.insert(of, 2 * np.cumsum(counts), 1)
+        n = self.lengths[of]
+        upto = np.cumsum(n)
+        ids = self.flat[np.repeat(self.starts[of] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+        total = np.concatenate([[0], upto])
+        last = 2 * np.cumsum(counts) + np.arange(1, len(counts) + 1)
+        return ids, np.diff(np.concatenate([[0], total[last]]))
 
 
 _ENCODERS: dict = {}
@@ -170,19 +331,30 @@ SHARD = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("start_in_part", p
 SHARD_SQL = "part int, no int, start_in_part long, n_ids long, first_free long, doc_ids array<long>, doc_lengths binary, doc_ends binary, rules binary, expansions binary, symbols binary"
 
 
-def pack_shard(part: int, no: int, start: int, first_free: int, doc_ids: list, encoded: list[bytes]) -> dict:
-    """A shard's row: 32-bit little-endian arrays, symbols in 16 bits where they fit."""
-    ids = np.frombuffer(b"".join(encoded), "<u4")
-    lengths = np.array([len(e) // 4 for e in encoded], "<u4")
+def pack_shard(part: int, no: int, start: int, first_free: int, doc_ids: list, ids: np.ndarray, lengths: np.ndarray) -> dict:
+    """A shard's row: 32-bit little-endian arrays, symbols in 16 or 24 bits where they fit."""
     symbols, rules, ends = compress(ids, np.cumsum(lengths), first_free)
-    small = first_free + len(rules) <= 1 << 16
     return {
         "part": part, "no": no, "start_in_part": start, "n_ids": len(ids), "first_free": first_free, "doc_ids": doc_ids,
-        "doc_lengths": lengths.tobytes(), "doc_ends": ends.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(),
-        "expansions": expansion_lengths(rules, first_free).astype("<u4").tobytes(), "symbols": symbols.astype("<u2" if small else "<u4").tobytes(),
+        "doc_lengths": lengths.astype("<u4").tobytes(), "doc_ends": ends.astype("<u4").tobytes(), "rules": rules.astype("<u4").tobytes(),
+        "expansions": expansion_lengths(rules, first_free).astype("<u4").tobytes(), "symbols": _packed(symbols, first_free + len(rules)),
     }
 
 
+def _width(size: int) -> int:
+    return 2 if size <= 1 << 16 else 3 if size <= 1 << 24 else 4
+
+
+def _packed(symbols: np.ndarray, size: int) -> bytes:
+    return np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : _width(size)]).tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // _width(size), 4), np.uint8)
+    wide[:, : _width(size)] = np.frombuffer(raw, np.uint8).reshape(-1, _width(size))
+    return wide.view("<u4").ravel()
+
+
 class Shard:
     """A shard read back: whole, or any document alone."""
 
@@ -190,7 +362,7 @@ class Shard:
         self.row, self.lengths, self.ends = row, np.frombuffer(row["doc_lengths"], "<u4"), np.frombuffer(row["doc_ends"], "<u4")
         rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
         self.grammar = Grammar(rules, np.frombuffer(row["expansions"], "<u4").astype(np.int64), row["first_free"])
-        self.symbols = np.frombuffer(row["symbols"], "<u2" if row["first_free"] + len(rules) <= 1 << 16 else "<u4")
+        self.symbols = _unpacked(row["symbols"], row["first_free"] + len(rules))
 
     def document(self, k: int) -> np.ndarray:
         return self.grammar.decode(self.symbols[self.ends[k - 1] if k else 0 : self.ends[k]])
@@ -214,27 +386,35 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         json = spark.sparkContext.broadcast(file.read())  # one vocabulary file
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
-    dealt = rows.repartitionByRange(parts, F.asc("doc_id")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    if parts is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES))
+    # a range bound may fall inside an id, and even inside equal rows
+    keys = [F.asc("doc_id"), F.xxhash64("text"), F.spark_partition_id()]
+    dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
         from pyspark import TaskContext
 
         part, encoder = TaskContext.get().partitionId(), _encoder(json.value, end_id)
-        ids, encoded, size, no, start = [], [], 0, 0, 0
+        no = start = size = 0
+        doc_ids, ids, lengths = [], [], []
 
         def shard():
-            return pa.RecordBatch.from_pylist([pack_shard(part, no, start, encoder.size, ids, encoded)], SHARD)
+            return pa.RecordBatch.from_pylist([pack_shard(part, no, start, encoder.size, doc_ids, np.concatenate(ids), np.array(lengths, np.int64))], SHARD)
 
-        for batch in slices(batches, 256):
-            for doc_id, e in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                if size and size + len(e) // 4 > shard_ids:
+        for batch in slices(batches, BATCH_ROWS):
+            found, counts = encoder.encode(batch.column(1))
+            names, at = batch.column(0).to_pylist(), 0
+            for name, n in zip(names, counts.tolist()):
+                if size and size + n > shard_ids:
                     yield shard()
-                    no, start, ids, encoded, size = no + 1, start + size, [], [], 0
-                ids.append(doc_id)
-                encoded.append(e)
-                size += len(e) // 4
+                    no, start, size, doc_ids, ids, lengths = no + 1, start + size, 0, [], [], []
+                doc_ids.append(name)
+                ids.append(found[at : at + n])
+                lengths.append(n)
+                size, at = size + n, at + n
         if size:
             yield shard()
 
