@@ -28,16 +28,16 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 #: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 or 3: a pair met less often would cost more than it saves
 LEAST_COUNT = 5
-#: The level of a round falls by this factor when a round replaces less than 1 symbol in FEW
+#: The level falls by this factor when a round replaces less than 1 symbol in FEW
 FALL = 8
-FEW = 200
+FEW = 60
 #: Bytes of text that a task encodes, in its sorted range of ids
 RANGE_BYTES = 64 << 20
 #: Distinct words whose ids a worker remembers; it starts anew when there are more
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 LONGEST_CACHED = 64
 #: Rows that are encoded together, and words that are given to the tokenizer as one text
-BATCH_ROWS = 1024
+BATCH_ROWS = 512
 JOINED_WORDS = 4096
 
 _HASH_BITS = 20
@@ -49,16 +49,17 @@ def _bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - _HASH_BITS)
 
 
-def _places(seq: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where a pair starts: not at a document's end and, in a run of one symbol, at every other place."""
-    ok = np.ones(len(seq) - 1, bool)
-    ok[ends[(ends > 0) & (ends < len(seq))] - 1] = False
-    at = np.nonzero((seq[:-1] == seq[1:]) & ok)[0]
-    if len(at):
-        start = np.concatenate([[True], np.diff(at) != 1])
-        run = at[start][np.cumsum(start) - 1]
-        ok[at[(at - run) & 1 == 1]] = False
-    return ok
+def _every_other(seq: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of ascending places of pairs, in a run of one symbol every other place from its start."""
+    twin = np.nonzero(seq[at] == seq[at + 1])[0]
+    if not len(twin):
+        return at
+    place = at[twin]
+    start = np.concatenate([[True], np.diff(place) != 1])
+    run = place[start][np.cumsum(start) - 1]
+    keep = np.ones(len(at), bool)
+    keep[twin[(place - run) & 1 == 1]] = False
+    return at[keep]
 
 
 def _chosen(pairs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,48 +83,52 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, least: int = LE
     result no pair of neighbours occurs ``least`` times.
     """
     seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
-    rules, size, level = [np.zeros((0, 2), np.uint32)], first_free, None
+    last = np.zeros(len(seq), bool)
+    last[ends[ends > 0] - 1] = True
+    rules, size, level, able = [np.zeros((0, 2), np.uint32)], first_free, None, None
     while len(seq) > 1:
-        left, right, ok = seq[:-1], seq[1:], _places(seq, ends)
-        h = _bins(left, right)
-        h[~ok] = 0
-        often = np.bincount(h, minlength=1 << _HASH_BITS)
-        often[0] -= len(ok) - int(ok.sum())
-        if level is None:
-            level = max(least, int(often.max()) // FALL)
-        # a pair can't be more frequent than its bin
-        at = np.nonzero((often >= level)[h] & ok)[0]
-        keys = np.sort(left[at].astype(np.uint64) << np.uint64(32) | right[at])
+        if able is None:
+            # a pair can't be more frequent than its bin
+            h = _bins(seq[:-1], seq[1:])
+            often = np.bincount(h, minlength=1 << _HASH_BITS)
+            level = max(least, int(often.max()) // FALL) if level is None else max(least, level // FALL)
+            able = np.nonzero((often >= level)[h] & ~last[:-1])[0]
+        at = _every_other(seq, able)
+        a, b = seq[at], seq[at + 1]
+        keys = np.sort(a.astype(np.uint64) << np.uint64(32) | b)
         edge = np.nonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[0] if len(keys) else np.zeros(0, np.int64)
         count = np.diff(np.append(edge, len(keys)))
         found, count = keys[edge][count >= level], count[count >= level]
-        taken = 0
-        if len(found):
-            a, b = _chosen(found[np.argsort(-count, kind="stable")], size)
-            # of chosen pairs in one bin the most frequent goes first; the others have a later round
-            bins, slot = _bins(a, b), np.full(1 << _HASH_BITS, -1, np.int32)
-            slot[bins[::-1]] = np.arange(len(a))[::-1]
-            own = slot[bins] == np.arange(len(a))
-            a, b = a[own], b[own]
-            slot[bins] = -1
-            slot[bins[own]] = np.arange(len(a))
-            k = slot[h[at]]
-            at, k = at[k >= 0], k[k >= 0]
-            same = (left[at] == a[k]) & (right[at] == b[k])
-            at, k = at[same], k[same]
-            taken = len(at)
-            seq[at] = (size + k).astype(np.uint32)
-            keep = np.ones(len(seq), bool)
-            keep[at + 1] = False
-            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
-            seq = seq[keep]
-            rules.append(np.stack([a, b], 1))
-            size += len(a)
-        if taken * FEW < len(seq):
-            if level > least:
-                level = max(least, level // FALL)
-            elif not taken:
+        if not len(found):
+            if level == least:
                 break
+            able = None
+            continue
+        first, second = _chosen(found[np.argsort(-count, kind="stable")], size)
+        # of chosen pairs in one bin the most frequent goes first; the others have a later round
+        bins, slot = _bins(first, second), np.full(1 << _HASH_BITS, -1, np.int32)
+        slot[bins[::-1]] = np.arange(len(bins))[::-1]
+        own = slot[bins] == np.arange(len(bins))
+        first, second = first[own], second[own]
+        slot[bins] = -1
+        slot[bins[own]] = np.arange(len(first))
+        k = slot[_bins(a, b)]
+        hit = np.nonzero(k >= 0)[0]
+        hit = hit[(a[hit] == first[k[hit]]) & (b[hit] == second[k[hit]])]
+        at, k = at[hit], k[hit]
+        seq[at] = (size + k).astype(np.uint32)
+        last[at] = last[at + 1]
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        place = np.cumsum(keep) - 1
+        ends = np.concatenate([[0], place + 1])[ends]
+        seq, last = seq[keep], last[keep]
+        # from here on pairs can only be frequent where they were, or beside a new symbol
+        at, near = place[at], np.zeros(len(seq), bool)
+        near[place[able[keep[able]]]] = near[at] = near[at - 1] = True
+        able = np.nonzero(near[:-1] & ~last[:-1])[0] if level == least or len(at) * FEW >= len(seq) else None
+        rules.append(np.stack([first, second], 1))
+        size += len(first)
     return seq, np.concatenate(rules).astype(np.uint32), ends
 
 
