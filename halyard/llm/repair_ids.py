@@ -25,22 +25,23 @@ from halyard.llm.common import pick, slices, table
 from halyard.session import scratch
 
 END_ID = 1
-SHARD_IDS = 1 << 20
+SHARD_IDS = 1 << 19
 #: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 or 3: a pair met less often would cost more than it saves
 LEAST_COUNT = 5
 #: The level falls by this factor when a round replaces less than 1 symbol in FEW
 FALL = 8
 FEW = 60
-#: Bytes of text that a task encodes, in its sorted range of ids
-RANGE_BYTES = 64 << 20
+#: Bytes of text in a task's sorted range of ids, and the number of ranges from which they grow instead: sorting spills, and shards bound the rest
+RANGE_BYTES = 16 << 20
+MOST_RANGES = 20_000
 #: Distinct words whose ids a worker remembers; it starts anew when there are more
 CACHE_WORDS = 400_000
 LONGEST_CACHED = 64
 #: Rows that are encoded together, and words that are given to the tokenizer as one text
 BATCH_ROWS = 512
-JOINED_WORDS = 4096
+JOINED_WORDS = 256
 
-_HASH_BITS = 20
+_HASH_BITS = 18
 
 
 def _bins(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -132,14 +133,31 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, least: int = LE
     return seq, np.concatenate(rules).astype(np.uint32), ends
 
 
+def _in_order(rules: np.ndarray, first_free: int):
+    """Numbers of rules, in groups that need no rule but those of earlier groups."""
+    inner, k = rules >= first_free, np.where(rules >= first_free, rules.astype(np.int64) - first_free, 0)
+    done, left = np.zeros(len(rules), bool), np.arange(len(rules))
+    while len(left):
+        ready = (~inner[left] | done[k[left]]).all(1)
+        yield left[ready]
+        done[left[ready]] = True
+        left = left[~ready]
+
+
 def expansion_lengths(rules: np.ndarray, first_free: int) -> np.ndarray:
     """Ids that each nonterminal stands for."""
-    out = np.zeros(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = sum(1 if s < first_free else out[s - first_free] for s in (a, b))
+    out, k = np.zeros(len(rules), np.int64), np.where(rules >= first_free, rules.astype(np.int64) - first_free, 0)
+    for now in _in_order(rules, first_free):
+        out[now] = np.where(rules[now] >= first_free, out[k[now]], 1).sum(1)
     return out
 
 
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for lengths[0] places, then the same of the next."""
+    upto = np.cumsum(lengths)
+    return np.repeat(starts - upto + lengths, lengths) + np.arange(upto[-1] if len(upto) else 0)
+
+
 class Grammar:
     """Decodes any run of symbols; every nonterminal's ids are laid out once."""
 
@@ -147,16 +165,8 @@ class Grammar:
         self.first_free, self.lengths = first_free, lengths
         self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
         self.flat = np.zeros(int(self.starts[-1]), np.uint32)
-        for k, pair in enumerate(rules.tolist()):
-            at = int(self.starts[k])
-            for s in pair:
-                if s < first_free:
-                    self.flat[at] = s
-                    at += 1
-                else:
-                    j = s - first_free
-                    self.flat[at : at + int(lengths[j])] = self.flat[self.starts[j] : self.starts[j + 1]]
-                    at += int(lengths[j])
+        for now in _in_order(rules, first_free):
+            self.flat[_spread(self.starts[now], lengths[now])] = self.decode(rules[now].ravel())
 
     def decode(self, symbols: np.ndarray) -> np.ndarray:
         inner = symbols >= self.first_free
@@ -164,11 +174,7 @@ class Grammar:
         n = np.where(inner, self.lengths[k] if len(self.lengths) else 1, 1)
         out = np.repeat(symbols, n).astype(np.uint32)
         if inner.any():
-            first = np.cumsum(n) - n
-            row = np.repeat(np.arange(len(symbols)), n)
-            within = np.arange(len(out)) - first[row]
-            of = inner[row]
-            out[of] = self.flat[self.starts[k[row[of]]] + within[of]]
+            out[np.repeat(inner, n)] = self.flat[_spread(self.starts[k[inner]], n[inner])]
         return out
 
 
@@ -183,8 +189,8 @@ WORD_SPLITTER = {
 }
 #: Stands between words that are encoded as one text; words that hold it are encoded alone
 _BETWEEN = "\x01"
-#: Punctuation that ends words: never in one piece with the letters before it
-_TAIL = ".,!?;:"
+#: Punctuation that ends words: never in one piece with the letters before it, nor the end of a special token
+_TAIL = "!\"#$%&()*+,-./:;<=?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -201,7 +207,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         read = json_format.loads(json)
         self.full, self.end_id = Tokenizer.from_str(json), end_id
@@ -213,6 +219,9 @@ class Encoder:
             self.lean = Tokenizer.from_str(json)
             self.lean.normalizer = None
             self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.letters = Tokenizer.from_str(json)
+            self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+            self.letters.pre_tokenizer = self.lean.pre_tokenizer
             self.ends_word = np.zeros(self.size, bool)
             self.ends_word[[k for w, k in read["model"]["vocab"].items() if w.endswith(suffix)]] = True
             self.mark = self.full.encode(_BETWEEN, add_special_tokens=False).ids
@@ -275,9 +284,10 @@ class Encoder:
     def _add(self, pieces: list[str]) -> None:
         """Numbers pieces that are not known yet."""
         plain, letters, rest = [], [], []
+        ends = self._ends_letters
         for w in pieces:
-            (plain if w.isascii() and w.isalpha() else letters if w.isalpha() else rest).append(w)
-        for words, read, tokenizer in ((plain, [w.lower() for w in plain], self.lean), (letters, letters, self.full)):
+            (rest if not w.isalpha() else plain if w.isascii() else letters if all(map(ends, set(w))) else rest).append(w)
+        for words, read, tokenizer in ((plain, [w.lower() for w in plain], self.lean), (letters, letters, self.letters)):
             if words and self._of_letters(read, tokenizer):
                 self.known.update(zip(words, range(self.n - len(words), self.n)))
             else:
@@ -314,9 +324,8 @@ class Encoder:
         of = piece[coded.indices.to_numpy(zero_copy_only=False)].ravel()
         of = np.insert(of, 2 * np.cumsum(counts), 1)
         n = self.lengths[of]
-        upto = np.cumsum(n)
-        ids = self.flat[np.repeat(self.starts[of] - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
-        total = np.concatenate([[0], upto])
+        ids = self.flat[_spread(self.starts[of], n)]
+        total = np.concatenate([[0], np.cumsum(n)])
         last = 2 * np.cumsum(counts) + np.arange(1, len(counts) + 1)
         return ids, np.diff(np.concatenate([[0], total[last]]))
 
@@ -394,7 +403,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
     if parts is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / RANGE_BYTES))
+        parts = max(spark.sparkContext.defaultParallelism, min(MOST_RANGES, math.ceil(size / RANGE_BYTES)))
     # a range bound may fall inside an id, and even inside equal rows
     keys = [F.asc("doc_id"), F.xxhash64("text"), F.spark_partition_id()]
     dealt = rows.repartitionByRange(parts, *keys).sortWithinPartitions("doc_id", F.xxhash64("text"))
