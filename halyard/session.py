@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,4 +42,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame | str) -> None:
+    """Delete tables that cut() wrote, or paths that scratch() named, once nothing will read them again."""
+    spark = SparkSession.getActiveSession()
+    for table in tables:
+        path = table if isinstance(table, str) else _PATHS.pop(table, None)
+        if path and spark:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this library left in the shared folder; for the end of a run whose results have been read."""
+    remove(spark, f"{shared_folder(spark)}/halyard")
