@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.session import cut
+from halyard.session import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -35,10 +35,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         large = cut(large.distinct(), "large-star")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         own = least.select("u", F.col("m").alias("v"))
         edges = cut(small.unionByName(own).distinct(), "small-star")
+        discard(large)
         after = _state(edges)
         if after == before:
             break

@@ -26,8 +26,8 @@ from halyard.session import scratch
 
 END_ID = 1
 SHARD_IDS = 1 << 19
-#: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 or 3: a pair met less often would cost more than it saves
-LEAST_COUNT = 5
+#: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 bytes: a pair met less often would not save what it costs
+LEAST_COUNT = 7
 #: The level falls by this factor when a round replaces less than 1 symbol in FEW
 FALL = 8
 FEW = 60

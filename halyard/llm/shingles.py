@@ -1,5 +1,10 @@
 """Near duplicates by Jaccard similarity of word-shingle sets, exact, by prefix filtering.
 
+The SimHash operator goes first: sets whose fingerprints its anchors join are
+compared with the first set of their component, which settles most exact and
+close copies.  64 bits can't tell a similarity of 0.8 from less, though, so what
+they miss is found by prefixes.
+
 Two sets with a Jaccard similarity of t or more share an element among the first
 n - ceil(t n) + 1 of each, in any one order of all elements.  So the texts' sets,
 equal ones taken once, meet at the shingles of their prefixes, and all links are
@@ -25,7 +30,8 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import lower_words, per_batch, pick
 from halyard.llm.components import connected_components
-from halyard.session import cut
+from halyard.llm.simhash import links, majority
+from halyard.session import cut, discard
 
 SHINGLE = 5
 #: Similarity from which two texts are near duplicates, as a fraction of integers
@@ -88,12 +94,12 @@ def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(common):
-    """(doc_id, set, n, parity, prefix) of (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """(doc_id, set, n, fp, parity, prefix) of (doc_id, text); fp is the SimHash of the set."""
+    schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batch):
         s, met = common.value
-        out = {"doc_id": batch.column(0), "set": [], "n": [], "parity": [], "prefix": []}
+        out = {"doc_id": batch.column(0), "set": [], "n": [], "fp": [], "parity": [], "prefix": []}
         for text in batch.column(1).to_pylist():
             found = shingle_set(text)
             first = found
@@ -102,6 +108,7 @@ def _prefixes(common):
                 first = found[np.argsort(np.where(s[at] == found, met[at], 0), kind="stable")]
             out["set"].append(_key(found))
             out["n"].append(len(found))
+            out["fp"].append(int(np.uint64(majority(found)).view(np.int64)))
             out["parity"].append(parity(found))
             out["prefix"].append(first[: len(found) - needed(len(found)) + 1].view(np.int64) if len(found) else [])
         return out
@@ -149,7 +156,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
         return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
     both = pairs.join(held.select(F.col("set").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("packed").alias("y")), "b")
-    return cut(both.select("a", "b", "x", "y").mapInArrow(per_batch(check, schema), "a long, b long"), "similar")
+    out = cut(both.select("a", "b", "x", "y").mapInArrow(per_batch(check, schema), "a long, b long"), "similar")
+    discard(pairs, ends, held)
+    return out
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
@@ -171,29 +180,46 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     docs = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     common = docs.sparkSession.sparkContext.broadcast(_common(docs, docs.count()))
-    rows = docs.mapInArrow(_prefixes(common), "doc_id long, set long, n long, parity binary, prefix array<long>")
+    rows = docs.mapInArrow(_prefixes(common), "doc_id long, set long, n long, fp long, parity binary, prefix array<long>")
     # equal sets have equal prefixes
-    sets = cut(rows.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "parity", "prefix")]), "sets")
+    sets = cut(rows.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "parity", "prefix")]), "sets")
+    close = _close(sets)
     here, entry = Window.partitionBy("s"), F.struct("n", "set", "at")
     met = sets.select("set", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "s")).withColumn("held", F.count("*").over(here))
     met = cut(met.withColumn("low", F.min(entry).over(here)).withColumn("high", F.max(entry).over(here)).where("held > 1"), "meetings")
     first = met.withColumn("l", F.explode(F.array("low", "high"))).where((F.col("set") != F.col("l.set")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
-    one = _verified(first.select(F.least("set", "l.set").alias("a"), F.greatest("set", "l.set").alias("b")), docs, sets)
+    first = first.select(F.least("set", "l.set").alias("a"), F.greatest("set", "l.set").alias("b"))
+    one = _verified(first.unionByName(close), docs, sets)
     joined = cut(connected_components(one), "first-components")
     # pairs of different components that meet somewhere else than with a leader
     placed = met.where("held > 2").join(joined.withColumnRenamed("node", "set"), "set", "left")
     placed = cut(placed.select("s", "set", "n", "at", F.coalesce("component", "set").alias("g")), "placed")
+    discard(met, joined, close)
     here = cut(placed.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "component-places")
     several = here.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    here = cut(here.join(several, "s", "left_semi"), "shared-places")
-    x, y = (here.select("s", F.col("g").alias(f"g{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")) for k in (1, 2))
+    shared = cut(here.join(several, "s", "left_semi"), "shared-places")
+    discard(here)
+    x, y = (shared.select("s", F.col("g").alias(f"g{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")) for k in (1, 2))
     reach = (F.col("high1") * DENOMINATOR >= F.col("low2") * NUMERATOR) & (F.col("high2") * DENOMINATOR >= F.col("low1") * NUMERATOR)
     across = x.join(y, "s").where((F.col("g1") < F.col("g2")) & reach).select("s", "g1", "g2")
     a, b = (placed.select("s", F.col("g").alias(f"g{k}"), F.col("set").alias(c), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k, c in ((1, "a"), (2, "b")))
     rest = across.join(a, ["s", "g1"]).join(b, ["s", "g2"]).where(_may(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2")))
     rest = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, sets)
     found = cut(connected_components(one.unionByName(rest)), "components")
-    return sets.select("set", "least").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component"))
+    out = cut(sets.select("set", "least").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component")), "groups")
+    discard(placed, shared, one, rest, found, sets)
+    return out
+
+
+def _close(sets: DataFrame) -> DataFrame:
+    """(a, b): each set with the smallest set of its component of SimHash fingerprints."""
+    points = cut(sets.select("fp").distinct(), "points")
+    found = cut(connected_components(links(points)), "close-points")
+    placed = sets.select("set", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("set", F.coalesce("component", "fp").alias("g"))
+    least = placed.groupBy("g").agg(F.min("set").alias("a"), F.count("*").alias("held")).where("held > 1").select("g", "a")
+    out = cut(placed.join(least, "g").where("a != set").select("a", F.col("set").alias("b")), "close-pairs")
+    discard(points, found)
+    return out
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,13 +230,26 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their group's row: they belong to no group and stay.
     """
 
+    clash = [c for c in docs.columns if c in ("first_id", "first_set", "again_id", "again_set")]
+    if clash:
+        renamed = {c: f"own_{k}_{c}" for k, c in enumerate(clash)}
+        kept = one_of_each_group(docs.withColumnsRenamed(renamed), id_col, text_col)
+        return kept.withColumnsRenamed({n: c for c, n in renamed.items()})
+
     @F.pandas_udf("long")
     def set_of(text: pd.Series) -> pd.Series:
         return pd.Series([_key(shingle_set(t)) for t in text], dtype="int64")
 
-    least = groups(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct("least", "set")).alias("first"))
+    found = groups(docs, id_col, text_col)
+    least = found.groupBy("component").agg(F.min(F.struct("least", "set")).alias("first"))
     least = cut(least.select(F.col("first.least").alias("first_id"), F.col("first.set").alias("first_set")), "firsts")
+    discard(found)
     kept = docs.join(least.select("first_id").distinct(), F.col(id_col).cast("long") == F.col("first_id"), "left_semi")
     kept = cut(kept.withColumn("first_set", set_of(F.col(text_col).cast("string"))), "first-rows")
     kept = kept.join(least, (F.col(id_col).cast("long") == F.col("first_id")) & (kept["first_set"] == least["first_set"]), "left_semi")
-    return kept.dropDuplicates([id_col, "first_set"]).drop("first_set").unionByName(docs.where(F.col(id_col).isNull()))
+    again = kept.groupBy(id_col, "first_set").count().where("count > 1").select(F.col(id_col).alias("again_id"), F.col("first_set").alias("again_set"))
+    again = cut(again, "repeated")
+    match = (F.col(id_col) == F.col("again_id")) & (F.col("first_set") == F.col("again_set"))
+    # texts of ids that are not repeated are not shuffled for this
+    once, more = kept.join(again, match, "left_anti"), kept.join(again, match, "left_semi").dropDuplicates([id_col, "first_set"])
+    return once.unionByName(more).drop("first_set").unionByName(docs.where(F.col(id_col).isNull()))

@@ -53,6 +53,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     parts = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)))
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(b" ".join(p), SEED) for p in parts), np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of some uint64 hashes; 0 of none."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -151,17 +156,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the smallest id of each near-duplicate group, with all its columns.
-
-    Of rows that repeat an id one stays.  Rows without an id can't be named as
-    their group's row: they belong to no group and stay.
-    """
-    ids = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    first = ids.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    kept = docs.join(first, F.col(id_col).cast("long") == F.col("first_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
-
-
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -53,8 +53,6 @@ def test_simhash_against_all_pairs(docs, texts):
     assert len(found) == len(texts) + 1
     for r in found:
         assert int(r["fingerprint"], 16) == points[r["doc_id"]] and r["component_id"] == group[r["doc_id"]]
-    kept = simhash.one_of_each_group(docs).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(group.values()))
 
 
 def test_warc_round_trip(spark):
