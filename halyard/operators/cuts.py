@@ -8,6 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from halyard.session import cut
+
+#: Cuts of a mesh that are held in one array
+LISTED = 4096
+
 
 def intercept(value: Column, slopes: list[Column], at: list[Column]) -> Column:
     """a0 of the cut value + slope (x - at): value - sum of slope * at."""
@@ -24,11 +29,23 @@ def in_box(df: DataFrame, box: dict[str, tuple[float, float]]) -> DataFrame:
 
 
 def upper_envelope(particles: DataFrame, cuts: DataFrame, mesh: str, xs: list[str], slopes: list[str], key: str, a0: str = "a0") -> DataFrame:
-    """(key, value): the largest cut of the particle's mesh at the particle."""
-    line = F.col(a0)
-    for x, s in zip(xs, slopes):
-        line = line + F.col(x) * F.col(s)
-    return particles.join(cuts, mesh).groupBy(key).agg(F.max(line).alias("value"))
+    """(key, value), a row for each particle: the largest cut of its mesh at the particle, null if the mesh has none.
+
+    A mesh's cuts are held in arrays of LISTED at most.  Where each mesh has one
+    array, particles are joined with it and nothing else is shuffled; meshes with
+    more are taken array by array, and the largest value of a numbered row stays.
+    """
+    cut_struct = F.struct(F.col(a0).cast("double").alias("a0"), *[F.col(s).cast("double").alias(f"s{k}") for k, s in enumerate(slopes)])
+    counts = cuts.groupBy(mesh).agg(F.ceil(F.count("*") / F.lit(LISTED)).alias("lists"))
+    many = counts.agg(F.max("lists")).first()[0] or 1
+    part = F.pmod(F.xxhash64(a0, *slopes), F.lit(int(many)))
+    listed = cuts.select(F.col(mesh).alias("c_mesh"), cut_struct.alias("c"), part.alias("part")).groupBy("c_mesh", "part").agg(F.collect_list("c").alias("listed"))
+    line = lambda c: sum((c[f"s{k}"] * F.col(x) for k, x in enumerate(xs)), c["a0"])
+    if many == 1:
+        return particles.join(listed, F.col(mesh) == F.col("c_mesh"), "left").select(key, F.array_max(F.transform("listed", line)).alias("value"))
+    rows = cut(particles.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).alias("row_key"), mesh, *xs), "particles")
+    met = rows.join(listed, F.col(mesh) == F.col("c_mesh"), "left").select("row_no", "row_key", F.array_max(F.transform("listed", line)).alias("value"))
+    return met.groupBy("row_no").agg(F.first("row_key").alias(key), F.max("value").alias("value")).drop("row_no")
 
 
 def hull(cuts: DataFrame, mesh: str, slope: str, key: str, a0: str = "a0") -> DataFrame:
@@ -68,3 +85,25 @@ def distinct_states(df: DataFrame, within: list[str], xs: list[str], width: floa
     """One state, the smallest, for each mesh and each cell of that width."""
     cells = [F.floor(F.col(x) / width + 0.5).alias(f"cell_{x}") for x in xs]
     return df.groupBy(*within, *cells).agg(F.min(F.struct(*xs)).alias("state")).select(*within, *[F.col(f"state.{x}").alias(x) for x in xs])
+
+
+def distinct_within(df: DataFrame, within: list[str], xs: list[str], tiny: float) -> DataFrame:
+    """States of each mesh, in ascending order, without those within ``tiny`` of a kept one in every coordinate.
+
+    States of one cell of width ``tiny`` are one state already before a mesh's
+    states meet, so what meets are states far apart, or neighbours over an edge.
+    """
+    few = df.select(*within, *[F.col(x).cast("double").alias(x) for x in xs]).dropna(subset=xs)
+    few = few.groupBy(*within, *[F.floor(F.col(x) / tiny).alias(f"cell_{k}") for k, x in enumerate(xs)]).agg(F.min(F.struct(*xs)).alias("state")).select(*within, *[F.col(f"state.{x}").alias(x) for x in xs])
+
+    def thin(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(xs, kind="stable")
+        kept: list[int] = []
+        rows = found[xs].to_numpy()
+        for i, row in enumerate(rows):
+            # kept states too far below in the first coordinate can't be near
+            if not any(rows[k][0] >= row[0] - tiny and (abs(rows[k] - row) <= tiny).all() for k in reversed(kept[-64:])):
+                kept.append(i)
+        return found.iloc[kept]
+
+    return few.groupBy(*within).applyInPandas(thin, few.schema) if within else few.groupBy(F.lit(0)).applyInPandas(thin, few.schema)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,32 +13,134 @@ from halyard.operators.ranks import with_rank
 from halyard.session import cut
 
 
-def dominated(df: DataFrame, x: str, y: str, w: str, key: str) -> DataFrame:
-    """(key, s): the sum of w over rows below this one in x and in y, both strictly.
+def dominated(df: DataFrame, x: str | list[str], y: str | None = None, w: str = "w", key: str = "id") -> DataFrame:
+    """(key, s): the sum of w over rows below this one in every coordinate, strictly; coordinates as a list, or two names.
 
-    Rows stand at the leaves of a binary tree in the order of x, equal x at one
-    leaf.  A row takes, from each left sibling on its way to the root, the
-    weights below it in y: a prefix sum.  A row is copied once a level, and the
-    prefix sums are dealt by value ranges, so no node's rows meet in one task.
+    Rows stand at the leaves of a binary tree in the order of the first
+    coordinate, equal values at one leaf.  A row takes, from each left sibling on
+    its way to the root, the weights below it in the other coordinates: the same
+    problem with one coordinate less, each pair of siblings on its own.  The last
+    coordinate is a prefix sum, dealt by value ranges.  A row is copied once a
+    level of each tree; no node's rows meet in one task.  Rows with a null
+    coordinate neither give nor take; equal keys are told apart.
     """
-    rows = df.select(F.col(key).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(w).alias("w")).dropna(subset=["x", "y"])
-    ranked = cut(with_rank(rows, ["x", "id"]), "by-x")
-    first = ranked.groupBy("x").agg(F.min("rank0").cast("long").alias("leaf"))
-    top = ranked.agg(F.max("n_rows")).first()[0] or 0
-    levels = max(1, (top - 1).bit_length())
-    spread = ranked.join(first, "x").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
-    spread = spread.withColumn("node", F.expr("shiftright(leaf, level)"))
-    spread = spread.select("id", "y", "level", F.expr("shiftright(node, 1)").alias("parent"), F.expr("1 - node % 2").alias("is_left"), "w")
-    spread = spread.withColumn("given", F.when(F.col("is_left") == 1, F.col("w")))
-    # at equal y the receiving side comes first, so equal y adds nothing
-    summed = with_rank(spread.drop("w"), ["y", "is_left", "id"], ["level", "parent"], value="given")
-    return summed.groupBy(F.col("id").alias(key)).agg(F.sum(F.when(F.col("is_left") == 0, F.col("prefix")).otherwise(F.lit(0))).alias("s"))
-
-
-def all_orthants(df: DataFrame, x: str, y: str, w: str, key: str) -> DataFrame:
-    """(key, orthant, s) for the four orthants: bit 0 set means above in x, bit 1 above in y."""
-    out = []
-    for orthant in range(4):
-        turned = df.withColumn(x, -F.col(x) if orthant & 1 else F.col(x)).withColumn(y, -F.col(y) if orthant & 2 else F.col(y))
-        out.append(dominated(turned, x, y, w, key).select(key, F.lit(orthant).alias("orthant"), "s"))
+    xs = [x, y] if y is not None else list(x)
+    names = [f"x{k}" for k in range(len(xs))]
+    rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).alias("row_key"), F.col(w).alias("w"), *[F.col(c).alias(n) for c, n in zip(xs, names)]).dropna(subset=names)
+    rows = cut(rows, "points")
+    spread, within = rows.drop("row_key").withColumn("gives", F.lit(True)).withColumn("takes", F.lit(True)), []
+    for k, n in enumerate(names[:-1]):
+        ranked = cut(with_rank(spread, [n, "row_no"], within), "by-coordinate")
+        first = ranked.groupBy(*within, n).agg(F.min("rank0").cast("long").alias("leaf"))
+        ranked = ranked.join(first, [*within, n])
+        top = ranked.agg(F.max("n_rows")).first()[0] or 0
+        levels = F.sequence(F.lit(0), F.lit(max(1, (top - 1).bit_length()) - 1))
+        spread = ranked.withColumn(f"level{k}", F.explode(levels)).withColumn("node", F.expr(f"shiftright(leaf, level{k})"))
+        left = F.col("node") % 2 == 0
+        spread = spread.withColumn(f"parent{k}", F.expr("shiftright(node, 1)")).withColumn("gives", F.col("gives") & left).withColumn("takes", F.col("takes") & ~left)
+        spread = spread.where("gives or takes").drop("leaf", "node", "rank0", "n_rows", n)
+        within += [f"level{k}", f"parent{k}"]
+    both = len(names) == 1
+    spread = spread.withColumn("given", F.when(F.col("gives"), F.col("w"))).withColumn("taking", F.col("takes"))
+    last = names[-1]
+    if both:
+        # one coordinate: every row gives and takes, so rows of equal value are taken off again
+        summed = with_rank(spread, [last, "row_no"], within, value="given")
+        below = summed.groupBy(last).agg((F.min_by("prefix", "rank0") - F.min_by("w", "rank0")).alias("s"))
+        got = summed.join(below, last).select("row_no", "s")
+    else:
+        # at equal values the receiving side comes first, so they add nothing
+        summed = with_rank(spread.withColumn("later", (~F.col("taking")).cast("int")), [last, "later", "row_no"], within, value="given")
+        got = summed.groupBy("row_no").agg(F.sum(F.when(F.col("taking"), F.col("prefix")).otherwise(F.lit(0))).alias("s"))
+    return rows.join(got, "row_no", "left").select(F.col("row_key").alias(key), F.coalesce("s", F.lit(0)).alias("s"))
+
+
+def all_orthants(df: DataFrame, x: str | list[str], y: str | None = None, w: str | list = "w", key: str = "id") -> DataFrame:
+    """(key, orthant, s) for all orthants of two or more coordinates: bit k set means above in coordinate k.
+
+    ``w`` may be a list, one weight column for each orthant.
+    """
+    xs, out = ([x, y] if y is not None else list(x)), []
+    for orthant in range(2 ** len(xs)):
+        turned = df
+        for k, c in enumerate(xs):
+            if orthant >> k & 1:
+                turned = turned.withColumn(c, -F.col(c))
+        weight = w if isinstance(w, str) else w[orthant]
+        out.append(dominated(turned, xs, None, weight, key).select(key, F.lit(orthant).alias("orthant"), "s"))
     return functools.reduce(DataFrame.unionByName, out)
+
+
+def cdf_of_sample(df: DataFrame, xs: list[str], y: str, key: str) -> DataFrame:
+    """(key, f): the sum of y over rows strictly below in every coordinate, and the row's own, over the number of rows."""
+    n = df.dropna(subset=xs).count()
+    got = dominated(df.select(key, y, *xs), xs, None, y, key)
+    own = df.groupBy(key).agg(F.sum(y).alias("own"))
+    return got.join(own, key).select(key, ((F.col("s") + F.col("own")) / max(1, n)).alias("f"))
+
+
+def laplacian_sums(df: DataFrame, xs: list[str], weights: list[str], h: list[float], key: str) -> DataFrame:
+    """(key, k0, k1, ...): for each weight column, its sum under the kernel exp(-sum |dx| / h) at every row, the row itself included.
+
+    The kernel factors by orthant: exp(+-x / h) of the row times the dominance
+    sum of w exp(-+x / h).  Coordinates are moved to their middle first; ranges of
+    many hundred h would overflow and are refused.  No two rows share a
+    coordinate's value, as with continuous data: what shares one would be left out.
+    """
+    ends = df.agg(*[F.min(x).alias(f"a{k}") for k, x in enumerate(xs)], *[F.max(x).alias(f"b{k}") for k, x in enumerate(xs)]).first()
+    if ends["a0"] is not None and sum((ends[f"b{k}"] - ends[f"a{k}"]) / hk for k, hk in enumerate(h)) > 1200:
+        raise ValueError("the range of the coordinates is too wide for this bandwidth")
+    middle = [((ends[f"a{k}"] or 0.0) + (ends[f"b{k}"] or 0.0)) / 2 for k in range(len(xs))]
+    base = cut(df.select(F.col(key).alias("id"), *[(F.col(x) - m).alias(f"z{k}") for k, (x, m) in enumerate(zip(xs, middle))], *[F.col(c).alias(f"w{j}") for j, c in enumerate(weights)]).dropna(), "kernel-rows")
+    zs, out = [f"z{k}" for k in range(len(xs))], None
+    for j in range(len(weights)):
+        shares = []
+        for orthant in range(2 ** len(xs)):
+            # below (bit 0): their exp(x / h) meets the row's exp(-x / h); above the other way
+            exponent = sum(((-1 if orthant >> k & 1 else 1) * F.col(z) / h[k] for k, z in enumerate(zs)), F.lit(0.0))
+            given = base.withColumn("give", F.col(f"w{j}") * F.exp(exponent)).withColumn("own", F.exp(-exponent))
+            turned = given
+            for k, z in enumerate(zs):
+                if orthant >> k & 1:
+                    turned = turned.withColumn(z, -F.col(z))
+            got = dominated(turned, zs, None, "give", "id")
+            shares.append(got.join(given.select("id", "own"), "id").select("id", (F.col("s") * F.col("own")).alias("part")))
+        total = functools.reduce(DataFrame.unionByName, shares).unionByName(base.select("id", F.col(f"w{j}").alias("part"))).groupBy("id").agg(F.sum("part").alias(f"k{j}"))
+        out = total if out is None else out.join(total, "id")
+    return out.withColumnRenamed("id", key)
+
+
+def laplacian_density(df: DataFrame, xs: list[str], h: list[float], key: str) -> DataFrame:
+    """(key, density): kernel density estimate at every row."""
+    n = df.count()
+    scale = 2 ** len(xs) * max(1, n) * functools.reduce(lambda a, b: a * b, h, 1.0)
+    sums = laplacian_sums(df.withColumn("one_weight", F.lit(1.0)), xs, ["one_weight"], h, key)
+    return sums.select(key, (F.col("k0") / scale).alias("density"))
+
+
+def laplacian_regression(df: DataFrame, xs: list[str], y: str, h: list[float], key: str, linear: bool = False) -> DataFrame:
+    """(key, fit): kernel-weighted mean of y at every row, or the value there of the kernel-weighted affine fit."""
+    terms = [F.lit(1.0), F.col(y)]
+    if linear:
+        terms += [F.col(x) for x in xs] + [F.col(x) * F.col(y) for x in xs] + [F.col(a) * F.col(b) for i, a in enumerate(xs) for b in xs[i:]]
+    made = df.select(key, *xs, *[t.alias(f"t{k}") for k, t in enumerate(terms)])
+    sums = laplacian_sums(made, xs, [f"t{k}" for k in range(len(terms))], h, key)
+    if not linear:
+        return sums.select(key, (F.col("k1") / F.col("k0")).alias("fit"))
+    d = len(xs)
+    rows = sums.join(df.select(key, *xs), key)
+
+    @F.pandas_udf("double")
+    def solved(s: pd.Series, x: pd.Series) -> pd.Series:
+        out = []
+        for sums_, at in zip(s, x):
+            gram, right = np.zeros((d + 1, d + 1)), np.zeros(d + 1)
+            gram[0, 0], right[0] = sums_[0], sums_[1]
+            gram[0, 1:] = gram[1:, 0] = sums_[2 : 2 + d]
+            right[1:] = sums_[2 + d : 2 + 2 * d]
+            gram[1:, 1:][np.triu_indices(d)] = sums_[2 + 2 * d :]
+            gram[1:, 1:] = np.triu(gram[1:, 1:]) + np.triu(gram[1:, 1:], 1).T
+            out.append(float(np.linalg.lstsq(gram, right, rcond=1e-12)[0] @ np.concatenate([[1.0], at])))
+        return pd.Series(out)
+
+    return rows.select(key, solved(F.array(*[f"k{k}" for k in range(len(terms))]), F.array(*xs)).alias("fit"))

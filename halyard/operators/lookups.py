@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +13,7 @@ from halyard.operators.ranks import with_rank
 from halyard.session import cut
 
 #: Centres that one pass of nearest() sends to the tasks
-CENTRES_PER_PASS = 4096
+CENTRES_PER_PASS = 1 << 20
 
 
 def step_lookup(knots: DataFrame, queries: DataFrame, t: str, key: str) -> DataFrame:
@@ -50,24 +54,94 @@ def step_mean(knots: DataFrame, intervals: DataFrame, t: str, value: str, low: s
     return both.select(key, F.when(F.col("b") > F.col("a"), (F.col("i_b") - F.col("i_a")) / (F.col("b") - F.col("a"))).otherwise(F.col("v_a")).alias("mean"))
 
 
+class KDTree:
+    """Nearest centres of whole batches: a subtree is visited by the points for which it may hold a nearer centre."""
+
+    LEAF = 16
+
+    def __init__(self, ids: np.ndarray, places: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.places = ids[order], places[order]
+        self.root = self._build(np.arange(len(ids)))
+
+    def _build(self, own: np.ndarray):
+        if len(own) <= self.LEAF:
+            return np.sort(own)
+        spread = self.places[own].max(0) - self.places[own].min(0)
+        axis = int(spread.argmax())
+        if not spread[axis] > 0:
+            return np.sort(own)
+        order = own[np.argsort(self.places[own, axis], kind="stable")]
+        middle = len(order) // 2
+        return axis, float(self.places[order[middle], axis]), self._build(order[:middle]), self._build(order[middle:])
+
+    def query(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ids, squared distance): ties go to the lowest id."""
+        best, found = np.full(len(x), np.inf), np.full(len(x), len(self.ids))
+        todo = [(self.root, np.arange(len(x)), np.zeros(len(x)))]
+        while todo:
+            node, rows, gap = todo.pop()
+            keep = gap <= best[rows]
+            rows = rows[keep]
+            if not len(rows):
+                continue
+            if isinstance(node, np.ndarray):
+                d = np.zeros((len(rows), len(node)))
+                for k in range(x.shape[1]):
+                    d += (x[rows, k : k + 1] - self.places[node, k]) ** 2
+                at = d.argmin(1)
+                near, which = d[np.arange(len(rows)), at], node[at]
+                better = (near < best[rows]) | ((near == best[rows]) & (which < found[rows]))
+                best[rows[better]], found[rows[better]] = near[better], which[better]
+                continue
+            axis, at, low, high = node
+            side = x[rows, axis] - at
+            for child, own in ((high, side < 0), (low, side >= 0)):
+                todo.append((child, rows[own], side[own] ** 2))
+            for child, own in ((low, side < 0), (high, side >= 0)):
+                todo.append((child, rows[own], gap[keep][own] * 0))
+        return found, best
+
+
 def nearest(points: DataFrame, centres: DataFrame, xs: list[str], key: str, centre: str, per_pass: int = CENTRES_PER_PASS) -> DataFrame:
     """(key, nearest, dist2): the centre at the least squared distance, ties to the lowest id.
 
-    Centres go to the tasks in lists of bounded size, one list a pass; each pass
-    keeps one candidate a point.
+    A row for each row of points, repeated keys included; a null coordinate, or a
+    table without centres, gives nulls; centres with a null are left out.  Trees
+    of at most ``per_pass`` centres go to the tasks; with more centres rows are
+    numbered, each pass keeps one candidate for each, and the best one stays.
     """
-    ranked = cut(with_rank(centres.select(F.col(centre).alias("c_id"), *xs), ["c_id"]), "centres")
-    passes = -(-ranked.count() // per_pass)
-    out = None
-    for k in range(passes):
-        part = ranked.where(F.col("rank0").between(k * per_pass, (k + 1) * per_pass - 1))
-        listed = part.agg(F.collect_list(F.struct("c_id", *xs)).alias("listed"))  # per_pass entries at most
-        gap = lambda c: sum(((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in xs[1:]), (F.col(xs[0]) - c[xs[0]]) * (F.col(xs[0]) - c[xs[0]]))
-        best = F.array_min(F.transform("listed", lambda c: F.struct(gap(c).alias("dist2"), c["c_id"].alias("nearest"))))
-        found = points.join(F.broadcast(listed), F.lit(True)).select(key, best.alias("best"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return points.select(key, F.lit(None).cast(centres.schema[centre].dataType).alias("nearest"), F.lit(None).cast("double").alias("dist2"))
-    if passes > 1:
-        out = out.groupBy(key).agg(F.min("best").alias("best"))
-    return out.select(key, "best.nearest", "best.dist2")
+    kind = centres.schema[centre].dataType
+    held = centres.select(F.col(centre).cast("long").alias("c_id"), *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
+    total = held.count()
+    rows = points.select(F.col(key).alias("p_key"), *[F.col(x).cast("double").alias(f"p{k}") for k, x in enumerate(xs)])
+    key_kind = points.schema[key].dataType.simpleString()
+
+    def found(rows, part, extra: str):
+        got = part.toArrow()  # per_pass rows at most
+        tree = rows.sparkSession.sparkContext.broadcast(KDTree(got["c_id"].to_numpy(), np.stack([got[x].to_numpy() for x in xs], 1)))
+        n = len(xs)
+
+        def run(batches):
+            for batch in batches:
+                x = np.stack([batch.column(batch.num_columns - n + k).to_numpy(zero_copy_only=False) for k in range(n)], 1).astype(float)
+                ok = ~np.isnan(x).any(1)
+                at, dist = np.zeros(len(x), np.int64), np.full(len(x), np.nan)
+                at[ok], dist[ok] = tree.value.query(x[ok])
+                lead = [batch.column(k) for k in range(batch.num_columns - n)]
+                yield pa.RecordBatch.from_arrays([*lead, pa.array(tree.value.ids[at], mask=~ok), pa.array(dist, mask=~ok)], names=[*batch.schema.names[:-n], "nearest", "dist2"])
+
+        return rows.mapInArrow(run, f"{extra}p_key {key_kind}, nearest long, dist2 double")
+
+    if not total:
+        return points.select(key, F.lit(None).cast(kind).alias("nearest"), F.lit(None).cast("double").alias("dist2"))
+    if total <= per_pass:
+        out = found(rows, held, "")
+    else:
+        numbered = cut(rows.select(F.monotonically_increasing_id().alias("row_no"), "*"), "points")
+        ranked = cut(with_rank(held, ["c_id"]), "centres")
+        parts = [found(numbered, ranked.where(F.col("rank0").between(k * per_pass, (k + 1) * per_pass - 1)).select("c_id", *xs), "row_no long, ") for k in range(-(-total // per_pass))]
+        both = functools.reduce(DataFrame.unionByName, parts)
+        best = both.groupBy("row_no").agg(F.first("p_key").alias("p_key"), F.min(F.when(F.col("nearest").isNotNull(), F.struct("dist2", "nearest"))).alias("b"))
+        out = best.select("p_key", "b.nearest", "b.dist2")
+    return out.select(F.col("p_key").alias(key), F.col("nearest").cast(kind).alias("nearest"), "dist2")

@@ -1,18 +1,37 @@
 """Global ranks, prefix sums and equal-mass cells without a one-task window.
 
-Rows are dealt into value ranges, written, and numbered inside their range; the
-ranges' totals, one row each, carry the numbers on.  Nothing but that list of
-totals is ever in one task.
+Rows are dealt into value ranges, sorted and numbered inside their range by the
+task that writes them: one shuffle.  The ranges' totals, one row each, carry the
+numbers on; nothing but that list of totals is ever in one task.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.session import cut
 
 
+def _running(schema, value: str):
+    """Adds upto, the sum of a column so far in this task, to sorted rows."""
+    names = [f.name for f in schema] + ["upto"]
+    kind = pa.int64() if isinstance(schema[value].dataType, (T.IntegralType,)) else pa.float64()
+
+    def run(batches):
+        before = pa.scalar(0, kind)
+        for batch in batches:
+            if batch.num_rows:
+                sums = pc.add(pc.cumulative_sum(pc.fill_null(batch.column(names.index(value)).cast(kind), pa.scalar(0, kind))), before)
+                before = sums[-1]
+                yield pa.RecordBatch.from_arrays([*batch.columns, sums], names=names)
+
+    return run, T.StructType([*schema.fields, T.StructField("upto", T.LongType() if kind == pa.int64() else T.DoubleType())])
+
+
 def with_rank(df: DataFrame, order: list[str], within: list[str] = (), value: str | None = None) -> DataFrame:
     """Adds rank0 (from 0), n_rows and, for a ``value`` column, prefix (sum up to and with the row).
 
@@ -21,29 +40,31 @@ def with_rank(df: DataFrame, order: list[str], within: list[str] = (), value: st
     Null values add nothing.  An empty table gives an empty result.
     """
     within = list(within)
-    dealt = cut(df.repartitionByRange(*within, *order).withColumn("part_no", F.spark_partition_id()), "ranges")
+    dealt = df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+    dealt = dealt.withColumn("part_no", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    if value:
+        run, schema = _running(dealt.schema, value)
+        dealt = dealt.mapInArrow(run, schema)
+    dealt = cut(dealt, "ranges")
     worth = F.coalesce(F.col(value), F.lit(0)) if value else F.lit(0)
-    totals = dealt.groupBy(*within, "part_no").agg(F.count("*").alias("part_rows"), F.sum(worth).alias("part_sum"))
+    start = F.min_by(F.col("upto") - worth, "in_part") if value else F.lit(0)
+    totals = dealt.groupBy(*within, "part_no").agg(F.count("*").alias("part_rows"), F.sum(worth).alias("part_sum"), F.min("in_part").alias("part_first"), start.alias("part_start"))
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     before = group.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *[F.col(c).alias(f"t_{c}") for c in within],
         F.col("part_no").alias("t_part"),
-        F.coalesce(F.sum("part_rows").over(before), F.lit(0)).alias("rows_before"),
-        F.coalesce(F.sum("part_sum").over(before), F.lit(0)).alias("sum_before"),
+        (F.coalesce(F.sum("part_rows").over(before), F.lit(0)) - F.col("part_first")).alias("rows_before"),
+        (F.coalesce(F.sum("part_sum").over(before), F.lit(0)) - F.col("part_start")).alias("sum_before"),
         F.sum("part_rows").over(group).alias("n_rows"),
     )
     match = F.col("part_no") == F.col("t_part")
     for c in within:
         match = match & F.col(c).eqNullSafe(F.col(f"t_{c}"))
-    local = Window.partitionBy(*within, "part_no").orderBy(*order)
-    rows = dealt.withColumn("in_part", F.row_number().over(local))
-    if value:
-        rows = rows.withColumn("sum_part", F.sum(worth).over(local.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.join(totals, match).withColumn("rank0", F.col("rows_before") + F.col("in_part") - 1)
+    rows = dealt.join(totals, match).withColumn("rank0", F.col("rows_before") + F.col("in_part"))
     if value:
-        rows = rows.withColumn("prefix", F.col("sum_before") + F.col("sum_part"))
-    return rows.drop("part_no", "in_part", "sum_part", "rows_before", "sum_before", *[f"t_{c}" for c in ["part", *within]])
+        rows = rows.withColumn("prefix", F.col("sum_before") + F.col("upto"))
+    return rows.drop("part_no", "in_part", "upto", "rows_before", "sum_before", *[f"t_{c}" for c in ["part", *within]])
 
 
 def equal_mass(df: DataFrame, meshes: dict[str, int], tie: str) -> DataFrame:

@@ -60,13 +60,11 @@ def laplacian_kernel_on_grid(spark, sf_dir):
     return fit.withColumn("weight", _round("weight", 4)).withColumn("fit", _round("fit"))
 
 
-@query("""WITH c AS (SELECT s_nationkey AS mesh, CAST(s_acctbal AS DOUBLE) / 1000 AS v, s_suppkey * 0.01::DOUBLE AS s, CAST(s_suppkey AS DOUBLE) AS a FROM supplier)
-SELECT c_custkey AS id, round(max(v - s * a + s * (CAST(c_acctbal AS DOUBLE) / 10)), 5) AS value FROM customer JOIN c ON mesh = c_nationkey
-WHERE a BETWEEN 1.0 AND 50.0 GROUP BY 1""")
-def cuts_at_particles(spark, sf_dir):
-    key = F.col("s_suppkey").cast("double")
-    planes = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mesh"), (F.col("s_acctbal").cast("double") / 1000).alias("v"), (key * 0.01).alias("s"), key.alias("a"))
-    planes = cuts.in_box(planes.withColumn("a0", cuts.intercept(F.col("v"), [F.col("s")], [F.col("a")])), {"a": (1.0, 50.0)})
+@query("""WITH c AS (SELECT s_nationkey AS mesh, s_suppkey % 17 / 10.0::DOUBLE AS v, s_suppkey * 0.01::DOUBLE AS s, CAST(s_acctbal AS DOUBLE) / 10 AS a FROM supplier)
+SELECT c_custkey AS id, round(max(v - s * a + s * (CAST(c_acctbal AS DOUBLE) / 10)), 5) AS value FROM customer LEFT JOIN (SELECT * FROM c WHERE a BETWEEN 100.0 AND 700.0) k ON mesh = c_nationkey GROUP BY c_custkey""")
+def boxed_cuts_at_particles(spark, sf_dir):
+    planes = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("mesh"), (F.col("s_suppkey") % 17 / 10.0).alias("v"), (F.col("s_suppkey") * 0.01).alias("s"), (F.col("s_acctbal").cast("double") / 10).alias("a"))
+    planes = cuts.in_box(planes.withColumn("a0", cuts.intercept(F.col("v"), [F.col("s")], [F.col("a")])), {"a": (100.0, 700.0)})
     particles = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("mesh"), (F.col("c_acctbal").cast("double") / 10).alias("x"))
     return cuts.upper_envelope(particles, planes, "mesh", ["x"], ["s"], "id").withColumn("value", _round("value"))
 

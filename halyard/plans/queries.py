@@ -155,17 +155,16 @@ def cdf_on_sample(spark, sf_dir):
     return cdf.cdf_on_sample(cents, "x", "y", "id").select("id", "f")
 
 
-@query("""WITH l AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS q, CAST(p_retailprice AS DOUBLE) / 20000 AS d FROM part), v AS (SELECT i, j, (1 + i) * (2.0 + j * j) AS v FROM range(0, 11) a(i), range(0, 6) b(j)),
+@query(f"""WITH {L_CTE}, v AS (SELECT i, j, (1 + i) * (2.0 + j * j) AS v FROM range(0, 11) a(i), range(0, 6) b(j)),
 p AS (SELECT id, least(greatest(q, 0.0), 50.0) / 5.0 AS a, least(greatest(d, 0.0), 0.1) / 0.02 AS b FROM l),
-c AS (SELECT *, greatest(0, least(9, floor(a + 1e-12))) AS i, greatest(0, least(4, floor(b + 1e-12))) AS j FROM p),
-s AS (SELECT id, c.i + e.i AS i, c.j + f.j AS j, (CASE WHEN e.i = 1 THEN a - c.i ELSE 1 - a + c.i END) * (CASE WHEN f.j = 1 THEN b - c.j ELSE 1 - b + c.j END) AS w FROM c, range(0, 2) e(i), range(0, 2) f(j))
-SELECT id, round(sum(w * v), 6) AS value FROM s JOIN v ON v.i = s.i AND v.j = s.j GROUP BY id""")
+c AS (SELECT *, greatest(0, least(9, floor(a + 1e-12))) AS i, greatest(0, least(4, floor(b + 1e-12))) AS j, row_number() OVER () AS r FROM p),
+s AS (SELECT r, id, c.i + e.i AS i, c.j + f.j AS j, (CASE WHEN e.i = 1 THEN a - c.i ELSE 1 - a + c.i END) * (CASE WHEN f.j = 1 THEN b - c.j ELSE 1 - b + c.j END) AS w FROM c, range(0, 2) e(i), range(0, 2) f(j))
+SELECT any_value(id) AS id, round(sum(w * v), 6) AS value FROM s JOIN v ON v.i = s.i AND v.j = s.j GROUP BY r""")
 def grid_interpolation(spark, sf_dir):
     grid = grids.RegularGrid((0.0, 0.0), (5.0, 0.02), (10, 5))
     i, j = F.expr("id % 11"), F.expr("id div 11")
     values = spark.range(66).select(F.col("id").alias("point_id"), ((1 + i) * (2.0 + j * j)).alias("value"))
-    parts = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("q"), (F.col("p_retailprice").cast("double") / 20000).alias("d"))
-    return grid.interpolate(values, parts, ["q", "d"], "id").withColumn("value", _round("value", 6))
+    return grid.interpolate(values, _lines(spark, sf_dir), ["q", "d"], "id").withColumn("value", _round("value", 6))
 
 
 @query("""WITH e AS (SELECT n_regionkey AS src, c_nationkey AS dst, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),

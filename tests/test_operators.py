@@ -76,7 +76,7 @@ def test_interpolation_is_exact_on_bilinear_functions(spark, frame, sample):
 
 
 def test_american_put(spark):
-    made = paths.black_scholes(spark, 40_000, 10, 1.0, 0.05, 0.2, 1.0).withColumn("s", F.col("s"))
+    made = paths.paths(spark, paths.BlackScholes(10, 1.0), 40_000).groupBy("sim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "x"))), lambda r: r["x"][0]).alias("s"))
     price = stopping.american(made, lambda x: F.greatest(1.0 - x, F.lit(0.0)), 10, 0.05, 1.0, 16)
     assert price == pytest.approx(0.06031, rel=0.03)
 
