@@ -10,8 +10,6 @@ its sample has a symbol.  An automaton parses many texts at once, a character pe
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,16 +18,18 @@ from pyspark.sql import functions as F
 from halyard.llm.common import crc32_of_id, per_batch, pick, table
 
 UNKNOWN = "und"
-#: Bounds of the labelled sample: documents of a language, characters of one, characters of a language
+#: Bounds of the labelled sample: documents of a language, characters of one that is learned whole, characters of a language
 SAMPLE_DOCS = 64
-DOC_CHARS = 1024
+DOC_CHARS = 4096
 TRAIN_CHARS = 16384
 #: Cells of all languages' dense tables together; a language whose share is too small has a sparse one
 DENSE_CELLS = 1 << 25
-#: A text is parsed in blocks of so many characters; no phrase spans two
+#: Texts are parsed in blocks of so many characters side by side; the parse is then mended over the blocks' edges
 BLOCK = 512
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
@@ -108,7 +108,7 @@ class Languages:
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        texts = {name: samples[name].lower()[:TRAIN_CHARS] for name in self.names}
+        texts = {name: samples[name].lower() for name in self.names}
         self.chars = np.array([max(2, len(texts[n])) for n in self.names])
         points = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le", "surrogatepass"), np.uint32))
         usual = [p for p in points.tolist() if chr(p).isalpha()]
@@ -136,19 +136,41 @@ class Languages:
         longest = min(BLOCK, max((len(c) for c in coded), default=0))
         steps = np.ascontiguousarray(grid.T[:longest])
         count = np.zeros((len(self.automata), grid.shape[0]), np.int64)
+        first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
+        inner = np.ones(grid.shape[0], bool)
+        inner[first] = False
         for found, automaton in zip(count, self.automata):
-            state = np.zeros(grid.shape[0], np.int64 if automaton.table is None else automaton.table.dtype)
-            for symbol in automaton.local[steps]:
-                got = automaton.step(state, symbol)
+            kind = np.int64 if automaton.table is None else automaton.table.dtype
+            local = automaton.local[steps]
+            seen = np.zeros((longest + 1, grid.shape[0]), kind)
+            for k in range(longest):
+                got = automaton.step(seen[k], local[k])
                 found += got & 3
-                state = got >> 2
-            found += state != 0
-        return np.add.reduceat(count, np.concatenate([[0], np.cumsum(lanes)[:-1]]), axis=1)
+                seen[k + 1] = got >> 2
+            # a block began at a fresh phrase: go on from the block before instead, up to where both parses agree
+            start = np.zeros(grid.shape[0], kind)
+            while len(rows := np.nonzero(inner & (start != np.concatenate([[0], seen[longest][:-1]]).astype(kind)))[0]):
+                state = start[rows] = seen[longest][rows - 1]
+                own = rows
+                for k in range(longest):
+                    differ = state != seen[k][own]
+                    if not differ.any():
+                        break
+                    own, state = own[differ], state[differ]
+                    before, after = automaton.step(seen[k][own], local[k][own]), automaton.step(state, local[k][own])
+                    found[own] += (after & 3).astype(np.int64) - (before & 3)
+                    seen[k][own] = state
+                    state = after >> 2
+                else:
+                    seen[longest][own] = state
+            last = np.append(first[1:], grid.shape[0]) - 1
+            found[last] += seen[longest][last] != 0
+        return np.add.reduceat(count, first, axis=1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score from 0 to 1); und and 0 where there is no letter or nothing was learned."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        able = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.names else []
+        able = [k for k, t in enumerate(texts) if t and has_letter(t)] if self.names else []
         if able:
             bits = self.phrases([texts[k] for k in able]) * np.log2(self.chars)[:, None]
             order = np.argsort(bits, axis=0, kind="stable")
@@ -173,28 +195,33 @@ def _model(samples: tuple) -> Languages:
 def learn(docs: DataFrame) -> tuple:
     """A bounded sample of text for each label of docs(doc_id, text, lang).
 
-    Rows without text or label teach nothing.  A language's documents are taken
-    by a hash of the id below a bound set from the label's count.
+    Rows without text or label teach nothing.  A language's documents of up to
+    DOC_CHARS characters are drawn by a hash below a bound set from their count,
+    and taken whole until SAMPLE_DOCS of them, or TRAIN_CHARS characters, are
+    there; a language of longer ones alone is learned from its shortest.
+    Repeated rows count once; an empty table teaches nothing.
     """
-    usable = docs.where("text is not null and lang is not null")
-    counts = usable.groupBy("lang").count().collect()
+    usable = docs.where("text is not null and lang is not null").withColumn("size", F.char_length("text"))
+    counts = usable.groupBy("lang").agg(F.count_if(F.col("size") <= DOC_CHARS).alias("short"), F.min("size").alias("least")).collect()
     if not counts:
         return ()
-    rates = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * SAMPLE_DOCS / r["count"]) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = usable.join(F.broadcast(rates), "lang").withColumn("draw", draw).where("draw < rate").select("lang", "draw", "doc_id", F.substring("text", 1, DOC_CHARS).alias("text"))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], 2.0 * SAMPLE_DOCS / max(1, r["short"]), DOC_CHARS if r["short"] else r["least"]) for r in counts], "lang string, rate double, most long")
+    draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = usable.join(F.broadcast(rates), "lang").withColumn("draw", draw).where("size <= most and draw < rate").select("lang", "draw", "text").distinct()
     samples: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["draw"], r["doc_id"] or 0, r["text"])):
-        if len(got := samples.setdefault(r["lang"], [])) < SAMPLE_DOCS:
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["draw"], r["text"])):
+        got = samples.setdefault(r["lang"], [])
+        if not got or (len(got) < SAMPLE_DOCS and sum(map(len, got)) + len(r["text"]) <= TRAIN_CHARS):
             got.append(r["text"])
-    return tuple((lang, " ".join(texts)[:TRAIN_CHARS]) for lang, texts in sorted(samples.items()))
+    return tuple((lang, " ".join(texts)) for lang, texts in sorted(samples.items()))
 
 
 def identify(docs: DataFrame, samples: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score), one row per input row, from the whole text.
 
     Null, empty and letterless texts are ``und`` with score 0; ties go to the
-    first name; only the id and the text are read.
+    first name; rows that repeat, null ids too, each get their row; an empty table
+    gives none; only the id and the text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(samples)
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])

@@ -25,6 +25,8 @@ SEED = 7
 BUCKET_BYTES = 32 << 20
 #: Buckets a shard has at least, so that small inputs are dealt to many tasks too
 LEAST_BUCKETS = 16
+#: Beyond so many buckets a task takes several, one after the other
+MOST_TASKS = 20_000
 
 
 def shard_of(doc_id, shards: int) -> "F.Column":
@@ -68,7 +70,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     buckets = max(LEAST_BUCKETS, math.ceil(total / shards / bucket_bytes))
     scattered = rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
     names = "doc_id long, text string, text_crc32 long, shard int, bucket int, place long"
-    scattered.select(F.col("doc_id").cast("long"), "text", "text_crc32", "shard", "bucket").groupBy("shard", "bucket").applyInArrow(_shuffled(seed), names).write.partitionBy("shard").parquet(path)
+    # a task for each bucket, not as many as the session shuffles to: tasks stay as large as a bucket
+    scattered = scattered.select(F.col("doc_id").cast("long"), "text", "text_crc32", "shard", "bucket").repartition(min(MOST_TASKS, shards * buckets), "shard", "bucket")
+    scattered.groupBy("shard", "bucket").applyInArrow(_shuffled(seed), names).write.partitionBy("shard").parquet(path)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
