@@ -1,7 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is partitioned by document: a block of training documents holds, for
-each term, the sorted word positions where it stands.  Test items are sent to
+each of its terms, the sorted word positions where it stands, so one index
+answers for any benchmark.  Test items are sent to
 all blocks, in bounded parts; every block answers on its own, so nothing is
 shuffled and no term, however frequent, meets in one task.  A phrase is found
 by taking the postings of its rarest term, shifted to the phrase's start, and
@@ -14,17 +15,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.llm.common import pick, slices, table
-from halyard.session import scratch
+from halyard.session import cut, scratch
 
 WINDOW = 10
 #: Words of the benchmark that are collected and sent to the blocks at a time
 PART_WORDS = 1_000_000
-#: Up to so many distinct test terms the index keeps postings of these only; beyond, of every term
-MOST_TERMS = 2_000_000
 BLOCK_DOCS = 512
 
 #: Word characters are digits, a-z and everything beyond ASCII; A-Z counts as a-z.
@@ -39,7 +39,7 @@ class Block:
     """Postings of a few documents.
 
     Positions run through the block; documents are one free position apart, so
-    no phrase spans two.  ``terms`` are sorted, ``keys`` is term number << 32 |
+    no phrase spans two.  ``keys`` is term number << 32 |
     position, ascending: the postings of all terms, one after the other.
     """
 
@@ -49,33 +49,32 @@ class Block:
         self.keys = (np.repeat(np.arange(len(terms), dtype=np.int64), counts) << 32) | positions
 
     @classmethod
-    def build(cls, ids: list, texts: list, wanted: dict | None) -> "Block":
-        n_words, codes, own = [], [], {}
-        for text in texts:
-            ws = item_words(text)
-            n_words.append(len(ws))
-            codes.extend([wanted.get(w, -1) for w in ws] if wanted is not None else [own.setdefault(w, len(own)) for w in ws])
-            codes.append(-1)
-        codes = np.array(codes, np.int64)
-        at = np.nonzero(codes >= 0)[0]
-        found, number = np.unique(codes[at], return_inverse=True)
-        names = list(own) if wanted is None else None
-        by_code = names if names is not None else _names(wanted)
-        terms = [by_code[c] for c in found.tolist()]
+    def build(cls, ids: list, texts: list) -> "Block":
+        raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(_TO_WORDS) for t in texts]
+        split = pc.ascii_split_whitespace(pa.array(raw, pa.binary()).view(pa.string()))
+        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        # white space at a text's ends splits off empty words
+        found = split.flatten()
+        full = pc.binary_length(found).to_numpy(zero_copy_only=False) > 0
+        doc = np.repeat(np.arange(len(texts)), n_words)[full]
+        n_words = np.bincount(doc, minlength=len(texts)).astype(np.int64)
+        coded = found.filter(pa.array(full)).view(pa.binary()).dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(number, kind="stable")
-        return cls(ids, np.array(n_words, np.int64), terms, np.bincount(number, minlength=len(found)), at[order])
-
-    def doc_of(self, positions: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.firsts, positions, side="right") - 1
+        terms = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return cls(ids, n_words, terms, np.bincount(number, minlength=len(terms)), (np.arange(len(doc)) + doc)[order])
 
+    def packed(self, no: int) -> dict:
+        """A row of the index; words hold no line ends."""
+        return {"block": no, "ids": self.ids, "n_words": self.n_words.astype("<i8").tobytes(), "terms": b"\n".join(self.terms), "counts": self.counts.astype("<i4").tobytes(), "positions": self.positions.astype("<i4").tobytes()}
 
-_NAMES: dict = {}
-
+    @classmethod
+    def unpacked(cls, row: dict) -> "Block":
+        read = lambda k, t: np.frombuffer(row[k], t).astype(np.int64)
+        return cls(row["ids"], read("n_words", "<i8"), row["terms"].split(b"\n") if row["terms"] else [], read("counts", "<i4"), read("positions", "<i4"))
 
-def _names(wanted: dict) -> list[bytes]:
-    if _NAMES.get("of") is not wanted:
-        _NAMES.update({"of": wanted, "list": list(wanted)})
-    return _NAMES["list"]
+    def doc_of(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, positions, side="right") - 1
 
 
 class Phrases:
@@ -175,8 +174,8 @@ class Phrases:
         return spans, items
 
 
-INDEX = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())), ("positions", pa.list_(pa.int32()))])
-INDEX_SQL = "block long, ids array<long>, n_words array<long>, terms array<binary>, counts array<long>, positions array<int>"
+INDEX = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+INDEX_SQL = "block long, ids array<long>, n_words binary, terms binary, counts binary, positions binary"
 
 
 def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", part_words: int = PART_WORDS):
@@ -192,23 +191,21 @@ def parts(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
         yield Phrases([(r["item_id"], item_words(r["text"])) for r in sorted(rows, key=lambda r: (r["item_id"], r["text"] or ""))])
 
 
-def build_index(docs: DataFrame, path: str, wanted: dict | None, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """Writes the postings of all documents as Parquet, a row per block, and reads them back.
+def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Writes the postings of all terms of all documents as Parquet, a row per block, and reads them back.
 
     Null and empty texts have no words but stay in the index; null ids and
     repeated rows are documents like others; an empty table gives an empty index.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(wanted)
 
     def run(batches):
         from pyspark import TaskContext
 
         task, k = TaskContext.get().partitionId(), 0
         for batch in slices(batches, block_docs):
-            b = Block.build(batch.column(0).to_pylist(), batch.column(1).to_pylist(), shared.value)
             k += 1
-            yield pa.RecordBatch.from_pylist([{"block": (task << 32) | k, "ids": b.ids, "n_words": b.n_words, "terms": b.terms, "counts": b.counts, "positions": b.positions.astype(np.int32)}], INDEX)
+            yield pa.RecordBatch.from_pylist([Block.build(batch.column(0).to_pylist(), batch.column(1).to_pylist()).packed((task << 32) | k)], INDEX)
 
     pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, INDEX_SQL).write.parquet(path)
     return spark.read.schema(INDEX_SQL).parquet(path)
@@ -216,8 +213,8 @@ def build_index(docs: DataFrame, path: str, wanted: dict | None, id_col: str = "
 
 def _blocks(batches):
     for batch in slices(batches, 1):
-        c = [batch.column(k)[0].values for k in range(1, 6)]
-        yield batch.column(0)[0].as_py(), Block(c[0].to_pylist(), c[1].to_numpy(), c[2].to_pylist(), c[3].to_numpy(), c[4].to_numpy().astype(np.int64))
+        row = batch.to_pylist()[0]
+        yield row["block"], Block.unpacked(row)
 
 
 FOUND_SQL = "block long, place int, doc_id long, n_words long, spans array<struct<a:long,b:long>>, items array<string>"
@@ -250,12 +247,16 @@ def _joined(rows: pa.Table) -> pa.Table:
 
 def exact_matches(index: DataFrame, all_parts) -> DataFrame:
     """A row per document: doc_id, n_words, spans (word ranges inside occurrences), items."""
-    sc = index.sparkSession.sparkContext
-    found = [index.mapInArrow(_answers(sc.broadcast(p)), FOUND_SQL) for p in all_parts]
-    if len(found) == 1:
-        return found[0]
-    both = found[0]
-    for x in found[1:]:
+    sc, found, before = index.sparkSession.sparkContext, [], None
+    for p in all_parts:
+        # the answer to a part is written before the next part is read, so the driver holds one part at a time
+        if before is not None:
+            found.append(cut(before, "part-answers"))
+        before = index.mapInArrow(_answers(sc.broadcast(p)), FOUND_SQL)
+    if not found:
+        return before
+    both = before
+    for x in found:
         both = both.unionByName(x)
     return both.groupBy("block", "place").applyInArrow(_joined, FOUND_SQL)  # a document's rows: one for each part
 
@@ -273,16 +274,6 @@ def proximity_matches(index: DataFrame, phrases: Phrases, within: int) -> DataFr
     return index.mapInArrow(run, "doc_id long, item_id string, word long")
 
 
-def vocabulary(all_parts: list[Phrases]) -> dict | None:
-    out: dict = {}
-    for p in all_parts:
-        for w in p.vocabulary:
-            out.setdefault(w, len(out))
-        if len(out) > MOST_TERMS:
-            return None
-    return out
-
-
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text has no word inside an occurrence of a window.
 
@@ -297,7 +288,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
         def run(batches):
             for batch in slices(batches, BLOCK_DOCS):
-                block = Block.build(list(range(batch.num_rows)), batch.column(at).to_pylist(), shared.value.vocabulary)
+                block = Block.build(list(range(batch.num_rows)), batch.column(at).to_pylist())
                 w, s = shared.value.find(block)
                 clean = np.ones(batch.num_rows, bool)
                 clean[block.doc_of(s)] = False
@@ -311,9 +302,8 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = list(parts(table(spark, sf_dir, "benchmark")))
-    index = build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"), vocabulary(asked))
-    found = exact_matches(index, asked)
+    index = build_index(table(spark, sf_dir, "documents"), scratch(spark, "postings"))
+    found = exact_matches(index, parts(table(spark, sf_dir, "benchmark")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
     items = F.array_sort("items")
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -210,3 +210,135 @@ def test_dedup_stage_keeps_unrelated_texts_of_one_id(spark):
     kept = corpus_pipeline.dedup(spark, spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], COLUMNS).repartition(3), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, one), (1, one), (1, two), (2, three)]
     assert len(kept[0]) == 5
+
+
+def test_exact_and_proximity_matches_against_brute_force(spark, docs, texts, tmp_path):
+    words = lambda t: decontaminate.item_words(t)
+    first = (texts[0] or "").split()
+    items = [(1, " ".join(first[10:25])), (2, " ".join(first[40:44])), (3, None), (4, "--"), (None, " ".join((texts[7] or "").split()[:12]).upper()), (5, "x x x")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.build_index(docs, f"file://{tmp_path}/i", block_docs=7)
+
+    def spans(text):
+        ws, hit, found = words(text), set(), set()
+        for name, item in items:
+            iw = words(item)
+            for at in range(max(1, len(iw) - 9) if iw else 0):
+                window = iw[at : at + 10]
+                for s in range(len(ws) - len(window) + 1):
+                    if ws[s : s + len(window)] == window:
+                        hit |= set(range(s, s + len(window)))
+                        found.add("" if name is None else str(name))
+        return len(hit), sorted(found)
+
+    for part_words in (1_000_000, 5):  # one part, and several that are joined
+        got = decontaminate.exact_matches(index, decontaminate.parts(benchmark, part_words=part_words)).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            assert (sum(s["b"] - s["a"] for s in r["spans"]), sorted(r["items"])) == spans(texts[r["doc_id"]])
+    phrases = decontaminate.Phrases([("1", words(items[0][1])[:3])])
+    near = {(r["doc_id"], r["word"]) for r in decontaminate.proximity_matches(index, phrases, 20).collect()}
+    count = {w: sum(words(t).count(w) for t in texts) for w in set(words(items[0][1])[:3])}
+    for k, t in enumerate(texts):
+        ws = words(t)
+        for rare in phrases.vocabulary:
+            at = [p for p, w in enumerate(ws) if w == rare and all(o in ws[max(0, p - 20) : p + 21] for o in phrases.vocabulary)]
+            if not at:
+                assert not any(d == k and ws[p] == rare for d, p in near)
+    assert any(d == 0 for d, _ in near) and count
+
+
+EDGES = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, " \n ", None, None, 3), (3, "½ ² ①", "xx", "a", 5), (4, "word " * 50_000, "en", "a", 250_000), (None, "some other text here", "en", None, 20), (5, "tie tie tie", "de", "b", 11), (5, "other text of one id", "de", "b", 20)]
+
+
+def _sf(spark, tmp_path, rows, name):
+    folder = f"{tmp_path}/{name}"
+    d = spark.createDataFrame(rows, COLUMNS)
+    for k in ("quality", "target", "source_size", "copy", "taken", "size", "shard", "bucket", "component_id", "first_id", "row_no", "fp"):
+        d = d.withColumn(k, F.lit("clash"))
+    d.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 0, 0), (None, 1, None)] if rows else [], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "a b c"), (None, None)] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(1, "u", "<p>x"), (None, None, None), (1, "u", "<p>x"), (2, "v", "<div>" * 3000 + "deep")] if rows else [], PAGES).withColumn("text", F.lit("clash")).write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_every_query_on_nulls_ties_long_texts_and_empty_tables(spark, tmp_path, empty):
+    from halyard.llm.queries import QUERIES
+
+    rows = [] if empty else EDGES
+    folder = _sf(spark, tmp_path, rows, "edge")
+    for name, run in QUERIES.items():
+        want = spark.read.parquet(f"{folder}/{'pages' if name in ('op3_html', 'op5_warc') else 'documents'}.parquet").count()
+        got = run(spark, folder).collect()
+        assert len(got) == want, name
+        if name == "op2_langid" and not empty:
+            assert {r["lang_pred"] for r in got if r["doc_id"] == 3} == {"und"}
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_nulls_ties_and_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    folder = _sf(spark, tmp_path, [] if empty else [*EDGES, *[(k, " ".join(f"w{k}x{j}" for j in range(40)), "en", "a", 200) for k in range(10, 16)]], "edge")
+    rows = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, rows, folder)
+        assert after.columns == rows.columns, name
+        after.write.parquet(f"{tmp_path}/{name}")
+        rows = spark.read.parquet(f"{tmp_path}/{name}")
+    assert corpus_pipeline.run(spark, folder).count() == rows.count()
+    assert rows.count() == 0 if empty else rows.where("doc_id >= 10").select("doc_id").distinct().count() >= 5
+
+
+def test_quality_forest_on_labels_it_has_not_seen(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("quality", F.lit("clash"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judge = quality.Judge.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = quality.assess(docs, judge).join(labels.where("doc_id % 2 = 1").select("doc_id", "quality"), "doc_id").where("not base_failed").collect()
+    bad, good = [r["kept"] for r in rows if r["quality"] == 0], [r["kept"] for r in rows if r["quality"] == 1]
+    assert len(bad) > 5 and sum(bad) <= 0.15 * len(bad) and sum(good) >= 0.97 * len(good)
+    kept = {r["doc_id"] for r in quality.assess(docs, judge).where("kept").collect()}
+    assert {r["doc_id"] for r in quality.good_documents(docs, judge).collect()} == kept
+
+
+def test_model_counts_against_plain_python(spark):
+    texts_ = ["a b a c", "B a b", None, "", "c c d", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    model, counts = brown.train(docs)
+    tokens = [w for t in texts_ for w in [*((t or "").lower().split()), ""]]
+    n, v = len(tokens), len(set(tokens))
+    asked = spark.createDataFrame([(1, "a zz b"), (2, None)], "doc_id long, text string")
+    for r in brown.score(asked, model, counts).collect():
+        ws = [*((["a", "zz", "b"]) if r["doc_id"] == 1 else []), ""]
+        want = sum(np.log10((tokens.count(w) + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert r["n_tokens"] == len(ws) and r["n_known"] == sum(w in tokens for w in ws) and np.isclose(r["base_score"], want) and r["score"] < 0
+
+
+def test_shards_keep_content_and_reruns_agree(spark, docs, texts, tmp_path):
+    runs = []
+    for k in range(2):
+        sharding.write_shards(docs, f"file://{tmp_path}/s{k}", bucket_bytes=5_000)
+        runs.append(sorted((r["doc_id"], r["text"] or "", r["text_crc32"], r["shard"], r["slot"]) for r in sharding.with_slots(sharding.read_shards(spark, f"file://{tmp_path}/s{k}")).collect()))
+    assert runs[0] == runs[1]
+    assert sorted((i, t) for i, t, *_ in runs[0]) == sorted([(k, t or "") for k, t in enumerate(texts)] + [(3, texts[3])])
+    assert all(c == zlib.crc32(t.encode()) for _, t, c, *_ in runs[0])
+
+
+def test_grammar_shards_at_random_access(spark, tmp_path):
+    import public_tokenizers
+
+    rows = [(k % 7 if k % 5 else None, f"the same words again and again {k % 4} " * (k % 6)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    repair_ids.write_ids(docs, f"file://{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), shard_ids=50, parts=3)
+    stored = [r.asDict() for r in spark.read.parquet(f"file://{tmp_path}/t").collect()]
+    assert len(stored) > 6 and sum(len(r["doc_ids"]) for r in stored) == 60
+    for row in stored:
+        shard = repair_ids.Shard(row)
+        assert all((shard.document(k) == whole).all() for k, whole in enumerate(shard.documents()))
+    run = np.full(1000, 9, np.uint32)
+    symbols, rules, ends = repair_ids.compress(run, np.array([400, 400, 1000]), 100)
+    grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 100), 100)
+    assert len(symbols) < 40 and (grammar.decode(symbols) == run).all() and (grammar.decode(symbols[: ends[1]]) == run[:400]).all()
