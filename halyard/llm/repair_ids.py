@@ -25,7 +25,7 @@ from halyard.llm.common import pick, slices, table
 from halyard.session import scratch
 
 END_ID = 1
-SHARD_IDS = 1 << 19
+SHARD_IDS = 1 << 18
 #: A rule takes 12 bytes (two symbols, a length), each replacement saves a symbol of 2 bytes: a pair met less often would not save what it costs
 LEAST_COUNT = 7
 #: The level falls by this factor when a round replaces less than 1 symbol in FEW
@@ -35,7 +35,7 @@ FEW = 60
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
 #: Distinct words whose ids a worker remembers; it starts anew when there are more
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 LONGEST_CACHED = 64
 #: Rows that are encoded together, and words that are given to the tokenizer as one text
 BATCH_ROWS = 512
