@@ -68,7 +68,7 @@ def _by_cell(cells: np.ndarray, columns: np.ndarray, total: dict[int, list]) ->
             total[c] = [n, s.copy()]
 
 
-def order_statistics(rows: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple[int, int], float]:
+def order_statistics(rows: DataFrame, ranks: dict[int, list[int]], n_bins: int = BINS, few: int = FEW_ROWS) -> dict[tuple[int, int], float]:
     """Exact values of given ranks (from 0) in each cell of rows(cell long, v double).
 
     Histograms, summed in the tasks first, narrow each rank down to a bin with
@@ -92,23 +92,23 @@ def order_statistics(rows: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple
                     own = v[cell == c]
                     for k, (lo, hi) in enumerate(ranges):
                         held = own[(own >= lo) & (own <= hi)]
-                        at = _bin(held, lo, hi)
-                        h = total.setdefault((c, k), np.zeros(BINS, np.int64))
-                        h += np.bincount(at, minlength=BINS)
+                        at = _bin(held, lo, hi, n_bins)
+                        h = total.setdefault((c, k), np.zeros(n_bins, np.int64))
+                        h += np.bincount(at, minlength=n_bins)
             keys = [(c, k, b, int(h[b])) for (c, k), h in total.items() for b in np.nonzero(h)[0].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in keys], pa.int64()) for j in range(4)], names=["c", "k", "b", "n"])
 
         hist: dict = {}
         for r in rows.select("cell", "v").mapInArrow(count, "c long, k long, b long, n long").groupBy("c", "k", "b").agg(F.sum("n").alias("n")).collect():
-            hist.setdefault((r["c"], r["k"]), np.zeros(BINS, np.int64))[r["b"]] = r["n"]
+            hist.setdefault((r["c"], r["k"]), np.zeros(n_bins, np.int64))[r["b"]] = r["n"]
         near, wanted = {}, {}
         for (c, rank), (lo, hi, k) in todo.items():
             h = hist[c, bins[c].index((lo, hi))]
             upto = np.cumsum(h)
             b = int(np.searchsorted(upto, k, "right"))
-            wide = (hi - lo) / BINS
+            wide = (hi - lo) / n_bins
             left, n = k - int(upto[b] - h[b]), int(h[b])
-            if n <= FEW_ROWS or not wide or lo + b * wide >= lo + (b + 1) * wide:
+            if n <= few or not wide or lo + b * wide >= lo + (b + 1) * wide:
                 wanted[c, rank] = (lo, hi, b, left)
             else:
                 near[c, rank] = (lo + b * wide, lo + (b + 1) * wide, None, lo, hi, b, k)
@@ -120,7 +120,7 @@ def order_statistics(rows: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple
                     cell, v = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
                     for j, (c, lo, hi, b) in enumerate(asked):
                         own = v[(cell == c) & (v >= lo) & (v <= hi)]
-                        own = own[_bin(own, lo, hi) == b]
+                        own = own[_bin(own, lo, hi, n_bins) == b]
                         if len(own):
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), j), pa.int64()), pa.array(own)], names=["j", "v"])
 
@@ -140,8 +140,8 @@ def order_statistics(rows: DataFrame, ranks: dict[int, list[int]]) -> dict[tuple
     return out
 
 
-def _bin(v: np.ndarray, lo: float, hi: float) -> np.ndarray:
-    return np.clip(((v - lo) * (BINS / (hi - lo))).astype(np.int64), 0, BINS - 1) if hi > lo else np.zeros(len(v), np.int64)
+def _bin(v: np.ndarray, lo: float, hi: float, n: int) -> np.ndarray:
+    return np.clip(((v - lo) * (n / (hi - lo))).astype(np.int64), 0, n - 1) if hi > lo else np.zeros(len(v), np.int64)
 
 
 class Mean:
