@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm.common import lower_words, per_batch, pick, table
 from halyard.llm.components import connected_components
-from halyard.session import cut
+from halyard.session import cut, dealt
 
 SEED = 42
 MAX_BITS = 3
@@ -124,14 +124,14 @@ def links(points: DataFrame, hot_homes: int = 512) -> DataFrame:
     any_hot = not hot.isEmpty()
     h = homes.join(hot, "anchor", "left_anti") if any_hot else homes
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    pairs = h.withColumnRenamed("fp", "a").join(replicas.withColumnRenamed("fp", "b"), "anchor").where(near).select("a", "b")
+    pairs = dealt(h.withColumnRenamed("fp", "a")).join(replicas.withColumnRenamed("fp", "b"), "anchor").where(near).select("a", "b")
     if any_hot:
         at = cut(homes.join(hot, "anchor").select("fp").distinct(), "hot-points")
         around = cut(replicas.join(hot, "anchor").select("fp").distinct(), "near-hot")
         keys = "key long, fp long"
         low = cut(at.mapInArrow(_balls(1), keys).groupBy("key").agg(F.min("fp").alias("a")), "hot-keys")
         for side in (at.mapInArrow(_balls(1), keys), around.mapInArrow(_balls(2), keys)):
-            pairs = pairs.unionByName(side.join(low, "key").where("a != fp").select("a", F.col("fp").alias("b")))
+            pairs = pairs.unionByName(dealt(side).join(low, "key").where("a != fp").select("a", F.col("fp").alias("b")))
     return pairs
 
 
@@ -150,10 +150,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(fingerprints(docs, id_col, text_col), "fingerprints")
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     found = cut(connected_components(links(points.select("fp"), hot_homes)), "components")
-    of = cut(points.join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "grouped")
+    of = cut(dealt(points).join(found, points.fp == found.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("group")), "grouped")
     least = of.groupBy("group").agg(F.min("least").alias("component_id"))
-    of = of.join(least, "group").select("fp", "component_id")
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = dealt(of).join(least, "group").select("fp", "component_id")
+    return dealt(rows).join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A side of a join that deals both sides by key, however small they look.
+
+    Spark takes what a Python function or a generator makes for about as large as
+    its input; a join would then collect all of it in the driver to broadcast it.
+    """
+    return df.hint("merge")
+
+
 _PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

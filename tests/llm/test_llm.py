@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import xxhash
-from halyard.llm import brown, decontaminate, html_text, langid, mixing, quality, repair_ids, sharding, simhash, warc
+from halyard.llm import brown, decontaminate, html_text, langid, mixing, quality, repair_ids, sharding, shingles, simhash, warc
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
@@ -342,3 +342,9 @@ def test_grammar_shards_at_random_access(spark, tmp_path):
     symbols, rules, ends = repair_ids.compress(run, np.array([400, 400, 1000]), 100)
     grammar = repair_ids.Grammar(rules, repair_ids.expansion_lengths(rules, 100), 100)
     assert len(symbols) < 40 and (grammar.decode(symbols) == run).all() and (grammar.decode(symbols[: ends[1]]) == run[:400]).all()
+
+
+def test_replicas_of_fingerprints_are_not_broadcast(spark):
+    points = spark.range(20_000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(points)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
