@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,35 +81,184 @@ def cdf_of_sample(df: DataFrame, xs: list[str], y: str, key: str) -> DataFrame:
     return got.join(own, key).select(key, ((F.col("s") + F.col("own")) / max(1, n)).alias("f"))
 
 
-def laplacian_sums(df: DataFrame, xs: list[str], weights: list[str], h: list[float], key: str) -> DataFrame:
-    """(key, k0, k1, ...): for each weight column, its sum under the kernel exp(-sum |dx| / h) at every row, the row itself included.
+#: Rows at a leaf of a kernel sum's first tree, a power of 2; they meet pair by pair
+LEAF = 64
+
+
+def _terms_scan(keys: list[str], trees: int, terms: list[tuple], h: list[float]):
+    """Running kernel sums over rows sorted by keys and z, of one partition; a last row keeps the state of its last group.
+
+    Sums stand for rows before this one, about its z and about the pivots.  Where
+    rows lie within 30 h of each other they share a cumulative sum; from one such
+    stretch to the next the sums decay, so nothing overflows.
+    """
+    index, d = {t: k for k, t in enumerate(terms)}, trees + 1
+
+    def shifted(values: np.ndarray, k: int, by) -> np.ndarray:
+        """Sums of (x - a - by)^p from those of (x - a)^q, in coordinate k; terms are the last axis."""
+        out = values.copy()
+        for t, (c, p) in enumerate(terms):
+            for q in range(p[k]):
+                out[..., t] += math.comb(p[k], q) * (-by) ** (p[k] - q) * values[..., index[c, (*p[:k], q, *p[k + 1 :])]]
+        return out
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        part, state, at, group, whole = TaskContext.get().partitionId(), None, 0.0, None, True
+        kinds = _scanned(keys, trees)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
+            ks = np.stack([column(c) for c in keys], 1) if keys else np.zeros((batch.num_rows, 0), np.int64)
+            z, side = column("z"), column("side")
+            giving = np.stack([column(f"w{c}") for c, _ in terms], 1).astype(float)
+            for k in range(trees):
+                apart = column(f"z{k}") - column(f"v{k}")
+                giving *= np.exp(-np.abs(apart) / h[k])[:, None] * np.stack([apart ** p[k] for _, p in terms], 1)
+            taken = np.zeros((batch.num_rows, len(terms)))
+            new = np.r_[True, (ks[1:] != ks[:-1]).any(1)]
+            starts = np.nonzero(new)[0]
+            cell = np.floor((z - z[starts][np.cumsum(new) - 1]) / (30 * h[-1]))
+            starts = np.nonzero(new | np.r_[False, cell[1:] != cell[:-1]])[0]
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows]):
+                here, m = tuple(ks[a].tolist()), z[a]
+                if here != group:
+                    whole, group, state = whole and group is None, here, np.zeros((2**trees, len(terms)))
+                else:
+                    state = shifted(state, d - 1, m - at) * np.exp(-(m - at) / h[-1])
+                if b - a == 1:
+                    taken[a] = state[(2**trees - 1) ^ side[a] if trees else 0]
+                    state[side[a]] += [giving[a, t] if not p[-1] else 0.0 for t, (_, p) in enumerate(terms)]
+                    at = m
+                    continue
+                step = z[a:b] - m
+                given = giving[a:b] * np.exp(step / h[-1])[:, None] * np.stack([step ** p[-1] for _, p in terms], 1)
+                fade, last = np.exp(-step / h[-1])[:, None], np.empty_like(state)
+                for s in range(2**trees):
+                    mine = np.where((side[a:b] == s)[:, None], given, 0.0)
+                    upto = np.cumsum(mine, axis=0) + state[s]
+                    before = np.concatenate([state[s][None, :], upto[:-1]])
+                    takes = side[a:b] == ((2**trees - 1) ^ s)
+                    taken[a:b][takes] = (shifted(before, d - 1, step) * fade)[takes]
+                    last[s] = shifted(upto[-1], d - 1, step[-1]) * fade[-1]
+                state, at = last, z[b - 1]
+            yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, kinds.field(k).type) for k, v in enumerate([column("row_no"), np.full(batch.num_rows, part), _lists(ks), z, side, *[column(f"{n}{k}") for k in range(trees) for n in "zv"], _lists(taken), [None] * batch.num_rows, [False] * batch.num_rows])], schema=kinds)
+        if group is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], kinds.field(k).type) for k, v in enumerate([None, part, list(group), at, None, *[None] * (2 * trees), None, state.ravel(), whole])], schema=kinds)
+
+    return scan, shifted
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32) if rows.shape[1] else np.zeros(len(rows) + 1, np.int32), rows.ravel())
+
+
+def _within_leaves(ranked: DataFrame, d: int, terms: list[tuple], h: list[float]) -> DataFrame:
+    """(row_no, t0, t1, ...): the terms over the other rows of a row's leaf, LEAF rows of consecutive ranks, pair by pair."""
+    schema = pa.schema([("row_no", pa.int64()), *[(f"t{t}", pa.float64()) for t in range(len(terms))]])
+
+    def met(leaf: pa.Table) -> pa.Table:
+        z = np.stack([leaf.column(f"z{k}").to_numpy() for k in range(d)], 1)
+        apart = z[None, :, :] - z[:, None, :]
+        kernel = np.exp(-(np.abs(apart) / np.array(h)).sum(2))
+        np.fill_diagonal(kernel, 0.0)
+        sums = [(kernel * np.prod(apart ** np.array(p), axis=2)) @ leaf.column(f"w{c}").to_numpy() for c, p in terms]
+        return pa.table([leaf.column("row_no"), *sums], schema=schema)
+
+    rows = ranked.withColumn("leaf", F.expr(f"rank0 div {LEAF}"))
+    return rows.groupBy("leaf").applyInArrow(met, "row_no long, " + ", ".join(f"t{t} double" for t in range(len(terms))))
 
-    The kernel factors by orthant: exp(+-x / h) of the row times the dominance
-    sum of w exp(-+x / h).  Coordinates are moved to their middle first; ranges of
-    many hundred h would overflow and are refused.  No two rows share a
-    coordinate's value, as with continuous data: what shares one would be left out.
+
+def _scanned(keys: list[str], trees: int) -> pa.Schema:
+    coordinates = [(f"{n}{k}", pa.float64()) for k in range(trees) for n in "zv"]
+    return pa.schema([("row_no", pa.int64()), ("part_no", pa.int32()), ("group", pa.list_(pa.int64())), ("z", pa.float64()), ("side", pa.int32()), *coordinates, ("sums", pa.list_(pa.float64())), ("state", pa.list_(pa.float64())), ("whole", pa.bool_())])
+
+
+def _swept(spread: DataFrame, keys: list[str], trees: int, terms: list[tuple], h: list[float]) -> DataFrame:
+    """(row_no, t0, t1, ...): for each row its terms over the rows of its groups that are before it in z."""
+    scan, shifted = _terms_scan(keys, trees, terms, h)
+    names = "row_no long, part_no int, group array<long>, z double, side int, " + "".join(f"z{k} double, v{k} double, " for k in range(trees)) + "sums array<double>, state array<double>, whole boolean"
+    rows = cut(spread.repartitionByRange(*keys, "z", "tie").sortWithinPartitions(*keys, "z", "tie").mapInArrow(scan, names), "kernel-scan")
+    carried, state, at, group = {}, None, 0.0, None
+    for r in rows.where("state is not null").select("part_no", "group", "z", "state", "whole").orderBy("part_no").collect():  # a row a partition
+        if group is not None:
+            carried[r["part_no"]] = (group, at, state)
+        own = np.array(r["state"]).reshape(2**trees, len(terms))
+        if r["whole"] and group == r["group"]:
+            own = own + shifted(state, trees, r["z"] - at) * np.exp(-(r["z"] - at) / h[-1])
+        group, at, state = r["group"], r["z"], own
+    schema = pa.schema([("row_no", pa.int64()), *[(f"t{t}", pa.float64()) for t in range(len(terms))]])
+
+    def finish(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name: batch.column(batch.schema.get_field_index(name))
+            number = lambda name: column(name).to_numpy(zero_copy_only=False)
+            sums = column("sums").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(terms)).copy()
+            part, z, side = number("part_no"), number("z"), number("side")
+            groups = column("group").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if keys else np.zeros((batch.num_rows, 0), np.int64)
+            for p in np.unique(part).tolist():
+                if p in carried:
+                    group, at, state = carried[p]
+                    mine = np.nonzero((part == p) & (groups == np.array(group, np.int64)[None, :]).all(1))[0]
+                    if len(mine):
+                        by = z[mine] - at
+                        sums[mine] += shifted(state[((2**trees - 1) ^ side[mine]) if trees else np.zeros(len(mine), int)], trees, by) * np.exp(-by / h[-1])[:, None]
+            for k in range(trees):
+                by = number(f"z{k}") - number(f"v{k}")
+                sums = shifted(sums, k, by) * np.exp(-np.abs(by) / h[k])[:, None]
+            yield pa.RecordBatch.from_arrays([column("row_no"), *[pa.array(sums[:, t]) for t in range(len(terms))]], schema=schema)
+
+    return rows.where("state is null").mapInArrow(finish, "row_no long, " + ", ".join(f"t{t} double" for t in range(len(terms))))
+
+
+def laplacian_moments(df: DataFrame, xs: list[str], weights: list[str], terms: list[tuple], h: list[float], key: str) -> DataFrame:
+    """(key, k0, k1, ...): for each term (c, p) the sum of weight c times prod (x_j - x)^p under exp(-sum |x_j - x| / h) at every row, itself included.
+
+    Terms with a lower power of a coordinate must be among the terms.  Along the
+    last coordinate sums decay from row to row, upwards and downwards.  In the
+    others rows stand at the leaves of a binary tree, as in dominated(), LEAF rows
+    at a leaf of the first one, and meet the rows of the sibling node: the kernel factors at the largest value of the
+    left one, so no factor is over 1, and ranges of any width are exact.  Rows of
+    one value are told apart by their numbers; rows with a null are left out.
     """
-    ends = df.agg(*[F.min(x).alias(f"a{k}") for k, x in enumerate(xs)], *[F.max(x).alias(f"b{k}") for k, x in enumerate(xs)]).first()
-    if ends["a0"] is not None and sum((ends[f"b{k}"] - ends[f"a{k}"]) / hk for k, hk in enumerate(h)) > 1200:
-        raise ValueError("the range of the coordinates is too wide for this bandwidth")
-    middle = [((ends[f"a{k}"] or 0.0) + (ends[f"b{k}"] or 0.0)) / 2 for k in range(len(xs))]
-    base = cut(df.select(F.col(key).alias("id"), *[(F.col(x) - m).alias(f"z{k}") for k, (x, m) in enumerate(zip(xs, middle))], *[F.col(c).alias(f"w{j}") for j, c in enumerate(weights)]).dropna(), "kernel-rows")
-    zs, out = [f"z{k}" for k in range(len(xs))], None
-    for j in range(len(weights)):
-        shares = []
-        for orthant in range(2 ** len(xs)):
-            # below (bit 0): their exp(x / h) meets the row's exp(-x / h); above the other way
-            exponent = sum(((-1 if orthant >> k & 1 else 1) * F.col(z) / h[k] for k, z in enumerate(zs)), F.lit(0.0))
-            given = base.withColumn("give", F.col(f"w{j}") * F.exp(exponent)).withColumn("own", F.exp(-exponent))
-            turned = given
-            for k, z in enumerate(zs):
-                if orthant >> k & 1:
-                    turned = turned.withColumn(z, -F.col(z))
-            got = dominated(turned, zs, None, "give", "id")
-            shares.append(got.join(given.select("id", "own"), "id").select("id", (F.col("s") * F.col("own")).alias("part")))
-        total = functools.reduce(DataFrame.unionByName, shares).unionByName(base.select("id", F.col(f"w{j}").alias("part"))).groupBy("id").agg(F.sum("part").alias(f"k{j}"))
-        out = total if out is None else out.join(total, "id")
-    return out.withColumnRenamed("id", key)
+    trees = len(xs) - 1
+    base = df.select(F.col(key).alias("id"), *[F.col(x).cast("double").alias(f"z{k}") for k, x in enumerate(xs)], *[F.col(c).cast("double").alias(f"w{j}") for j, c in enumerate(weights)]).dropna()
+    base = cut(base.withColumn("row_no", F.monotonically_increasing_id()), "kernel-rows")
+    spread, keys, side, parts = base.drop("id"), [], F.lit(0), []
+    for k in range(trees):
+        ranked = cut(with_rank(spread, [f"z{k}", "row_no"], keys), "by-coordinate")
+        top = ranked.agg(F.max("n_rows")).first()[0] or 0
+        lowest = 0 if k else LEAF.bit_length() - 1
+        if not k:
+            parts.append(_within_leaves(ranked, len(xs), terms, h))
+        levels = F.sequence(F.lit(lowest), F.lit(max(lowest + 1, (top - 1).bit_length()) - 1))
+        spread = ranked.withColumn(f"level{k}", F.explode(levels)).withColumn(f"level{k}", F.col(f"level{k}").cast("long")).withColumn("node", F.expr(f"shiftright(rank0, cast(level{k} as int))"))
+        spread = spread.withColumn(f"parent{k}", F.expr("shiftright(node, 1)")).withColumn(f"side{k}", (F.col("node") % 2).cast("int"))
+        spread = cut(spread.where(f"shiftleft(2 * parent{k} + 1, cast(level{k} as int)) < n_rows").drop("node", "rank0", "n_rows"), "by-node")
+        keys += [f"level{k}", f"parent{k}"]
+        pivots = cut(spread.where(f"side{k} = 0").groupBy(*keys).agg(F.max(f"z{k}").alias(f"v{k}")), "pivots")
+        spread = spread.join(pivots, keys)
+        side = side + F.col(f"side{k}") * (1 << k)
+    if trees:
+        spread = cut(spread, "kernel-nodes")
+    spread = spread.withColumn("side", side.cast("int"))
+    last = f"z{trees}"
+    for up in (1, -1):
+        turned = spread.withColumn("z", F.col(last) * up).withColumn("tie", F.col("row_no") * up)
+        got = _swept(turned, keys, trees, terms, h)
+        parts.append(got.select("row_no", *[(F.col(f"t{t}") * float(up ** p[-1])).alias(f"t{t}") for t, (_, p) in enumerate(terms)]))
+    parts.append(base.select("row_no", *[(F.lit(0.0) if any(p) else F.col(f"w{c}")).alias(f"t{t}") for t, (c, p) in enumerate(terms)]))
+    sums = functools.reduce(DataFrame.unionByName, parts).groupBy("row_no").agg(*[F.sum(f"t{t}").alias(f"k{t}") for t in range(len(terms))])
+    return base.select("row_no", F.col("id").alias(key)).join(sums, "row_no").drop("row_no")
+
+
+def laplacian_sums(df: DataFrame, xs: list[str], weights: list[str], h: list[float], key: str) -> DataFrame:
+    """(key, k0, k1, ...): for each weight column, its sum under the kernel exp(-sum |dx| / h) at every row, the row itself included."""
+    return laplacian_moments(df, xs, weights, [(j, (0,) * len(xs)) for j in range(len(weights))], h, key)
 
 
 def laplacian_density(df: DataFrame, xs: list[str], h: list[float], key: str) -> DataFrame:
@@ -120,27 +271,24 @@ def laplacian_density(df: DataFrame, xs: list[str], h: list[float], key: str) ->
 
 def laplacian_regression(df: DataFrame, xs: list[str], y: str, h: list[float], key: str, linear: bool = False) -> DataFrame:
     """(key, fit): kernel-weighted mean of y at every row, or the value there of the kernel-weighted affine fit."""
-    terms = [F.lit(1.0), F.col(y)]
-    if linear:
-        terms += [F.col(x) for x in xs] + [F.col(x) * F.col(y) for x in xs] + [F.col(a) * F.col(b) for i, a in enumerate(xs) for b in xs[i:]]
-    made = df.select(key, *xs, *[t.alias(f"t{k}") for k, t in enumerate(terms)])
-    sums = laplacian_sums(made, xs, [f"t{k}" for k in range(len(terms))], h, key)
+    d = len(xs)
+    made = df.select(key, *xs, F.lit(1.0).alias("one_weight"), F.col(y).alias("y_weight"))
     if not linear:
+        sums = laplacian_sums(made, xs, ["one_weight", "y_weight"], h, key)
         return sums.select(key, (F.col("k1") / F.col("k0")).alias("fit"))
-    d = len(xs)
-    rows = sums.join(df.select(key, *xs), key)
+    unit = [tuple(int(i == k) for i in range(d)) for k in range(d)]
+    both = lambda a, b: tuple(i + j for i, j in zip(a, b))
+    low = [(0,) * d, *unit]
+    terms = [(0, p) for p in low] + [(0, both(unit[i], unit[j])) for i in range(d) for j in range(i, d)] + [(1, p) for p in low]
+    sums = laplacian_moments(made, xs, ["one_weight", "y_weight"], terms, h, key)
+    scale = np.array([1.0, *h])
 
     @F.pandas_udf("double")
-    def solved(s: pd.Series, x: pd.Series) -> pd.Series:
-        out = []
-        for sums_, at in zip(s, x):
-            gram, right = np.zeros((d + 1, d + 1)), np.zeros(d + 1)
-            gram[0, 0], right[0] = sums_[0], sums_[1]
-            gram[0, 1:] = gram[1:, 0] = sums_[2 : 2 + d]
-            right[1:] = sums_[2 + d : 2 + 2 * d]
-            gram[1:, 1:][np.triu_indices(d)] = sums_[2 + 2 * d :]
-            gram[1:, 1:] = np.triu(gram[1:, 1:]) + np.triu(gram[1:, 1:], 1).T
-            out.append(float(np.linalg.lstsq(gram, right, rcond=1e-12)[0] @ np.concatenate([[1.0], at])))
-        return pd.Series(out)
-
-    return rows.select(key, solved(F.array(*[f"k{k}" for k in range(len(terms))]), F.array(*xs)).alias("fit"))
+    def solved(s: pd.Series) -> pd.Series:
+        # coordinates count from the row in widths h, so the fit's value there is its constant
+        s = np.array(s.tolist()).reshape(-1, len(terms))
+        gram = np.stack([np.stack([s[:, terms.index((0, both(a, b)))] for b in low], 1) for a in low], 1) / np.outer(scale, scale)
+        right = s[:, [terms.index((1, p)) for p in low]] / scale
+        return pd.Series((np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ right[:, :, None])[:, 0, 0])
+
+    return sums.select(key, solved(F.array(*[f"k{k}" for k in range(len(terms))])).alias("fit"))
