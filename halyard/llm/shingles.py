@@ -11,10 +11,11 @@ equal ones taken once, meet at the shingles of their prefixes, and all links are
 found.  The order puts shingles that are common in a sample of the texts last:
 which ones it holds changes the work, never the result.
 
-Where many sets meet at a shingle, each is first compared with the smallest and
-the largest of them alone; what these links join needs no further comparison.
-Only pairs of sets that are still in different components follow, so a large
-group of near copies costs its size, not its square.
+Where many sets meet at a shingle, each is first compared with the smallest, the
+largest and the most central of them alone: the one of whose prefix the largest
+part is shared, which in a group of edited copies is the text they were made
+from.  What these links join needs no further comparison.  Only pairs of sets
+that are still in different components follow.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from halyard.session import cut, discard
 SHINGLE = 5
 #: Similarity from which two texts are near duplicates, as a fraction of integers
 NUMERATOR, DENOMINATOR = 4, 5
-#: The order of shingles: texts sampled for it, and how many of the commonest, met COMMON times, go last
-SAMPLE_DOCS = 5000
-COMMON, MOST_COMMON = 4, 100_000
+#: The order of shingles: texts sampled for it (so many, or a part of all if that is more), and how many of the commonest, met COMMON times, go last
+SAMPLE_DOCS, SAMPLE_PART = 5000, 1 / 16
+COMMON, MOST_COMMON = 4, 500_000
 #: Bits of a set's parity sketch
 PARITY = 1024
 
@@ -84,7 +85,7 @@ def _common(docs: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted common shingles of a sample of docs(doc_id, text), and how often each was met."""
     schema = pa.schema([("s", pa.int64())])
     run = lambda b: {"s": np.concatenate([np.zeros(0, np.uint64), *[shingle_set(t) for t in b.column(0).to_pylist()]]).view(np.int64)}
-    rate = SAMPLE_DOCS / max(1, n_docs)
+    rate = max(SAMPLE_PART, SAMPLE_DOCS / max(1, n_docs))
     drawn = docs.where(F.pmod(F.xxhash64(F.lit("shingles"), "doc_id"), F.lit(1 << 30)) < F.lit(int(min(1.0, rate) * (1 << 30)))).select("text")
     met = drawn.mapInArrow(per_batch(run, schema), "s long").groupBy("s").count().where(F.col("count") >= COMMON)
     rows = met.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()
@@ -185,16 +186,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     sets = cut(rows.groupBy("set").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "fp", "parity", "prefix")]), "sets")
     close = _close(sets)
     here, entry = Window.partitionBy("s"), F.struct("n", "set", "at")
-    met = sets.select("set", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("at", "s")).withColumn("held", F.count("*").over(here))
+    met = sets.select("set", F.col("n").cast("int").alias("n"), F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "s")).withColumn("held", F.count("*").over(here))
     met = cut(met.withColumn("low", F.min(entry).over(here)).withColumn("high", F.max(entry).over(here)).where("held > 1"), "meetings")
-    first = met.withColumn("l", F.explode(F.array("low", "high"))).where((F.col("set") != F.col("l.set")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
+    part = met.groupBy("set").agg((F.count("*") / F.first("size")).alias("part"))
+    central = cut(met.join(part, "set").groupBy("s").agg(F.max_by(entry, F.struct("part", "set")).alias("central")), "central")
+    first = met.join(central, "s").withColumn("l", F.explode(F.array_distinct(F.array("low", "high", "central")))).where((F.col("set") != F.col("l.set")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
     first = first.select(F.least("set", "l.set").alias("a"), F.greatest("set", "l.set").alias("b"))
     one = _verified(first.unionByName(close), docs, sets)
     joined = cut(connected_components(one), "first-components")
     # pairs of different components that meet somewhere else than with a leader
     placed = met.where("held > 2").join(joined.withColumnRenamed("node", "set"), "set", "left")
     placed = cut(placed.select("s", "set", "n", "at", F.coalesce("component", "set").alias("g")), "placed")
-    discard(met, joined, close)
+    discard(met, central, joined, close)
     here = cut(placed.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "component-places")
     several = here.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
     shared = cut(here.join(several, "s", "left_semi"), "shared-places")

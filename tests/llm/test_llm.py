@@ -348,3 +348,20 @@ def test_replicas_of_fingerprints_are_not_broadcast(spark):
     points = spark.range(20_000).select(F.xxhash64("id").alias("fp"))
     plan = simhash.links(points)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_edited_copies_meet_at_the_text_they_were_made_from(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    first = [word() for _ in range(150)]
+    made = [first]
+    for _ in range(120):
+        ws = list(first)
+        for at in rng.choice(26, 3, replace=False) * 5 + 10:
+            ws[at] = word()
+        made.append(ws)
+    asked, whole = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *a: (asked.append(pairs.count()), whole(pairs, *a))[1])
+    found = shingles.groups(spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(made)], "doc_id long, text string").repartition(3)).collect()
+    assert len({r["component"] for r in found}) == 1 and len(found) == len(made)
+    assert asked[1] == 0
