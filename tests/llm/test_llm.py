@@ -365,3 +365,42 @@ def test_edited_copies_meet_at_the_text_they_were_made_from(spark, monkeypatch):
     found = shingles.groups(spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(made)], "doc_id long, text string").repartition(3)).collect()
     assert len({r["component"] for r in found}) == 1 and len(found) == len(made)
     assert asked[1] == 0
+
+
+def _threshold(scores, good):
+    levels = np.unique(scores)
+    bars = np.concatenate([(levels[1:] + levels[:-1]) / 2, levels[-1:]])
+    lost = np.array([(scores[good] > b).mean() for b in bars])
+    cost = np.where(lost <= quality.MOST_GOOD_LOST, [(scores[~good] <= b).mean() + quality.LOSS_WEIGHT * x for b, x in zip(bars, lost)], np.inf)
+    return bars[len(bars) - 1 - int(cost[::-1].argmin())]
+
+
+def test_quality_learns_from_every_row(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = np.array([*(f"w{k}" for k in range(50)), "#a", "b%", "LOUD", "Cap", "oh!"])
+    made = []
+    for k in range(6000):
+        odd = rng.random() < 0.1
+        ws = vocabulary[rng.integers(0, len(vocabulary), int(rng.integers(8, 30)))].tolist() if odd else vocabulary[rng.permutation(52)[: int(rng.integers(8, 30))]].tolist()
+        made.append((k, " ".join(ws), int(not odd if rng.random() < 0.95 else odd)))
+    rows = spark.createDataFrame(made, "doc_id long, text string, quality int").repartition(3)
+    judge = quality.Judge.fit(rows.select("doc_id", "text"), rows.select("doc_id", "quality"))
+    base, features = quality._arrays([t for _, t, _ in made])
+    ok, good = ~quality.fails_base(base), np.array([q > 0 for *_, q in made])
+    usual = ok & good
+    assert usual.sum() > 4096
+    assert np.allclose(judge.middle, np.median(features[usual], axis=0), rtol=1e-15)
+    off = judge._off(base[usual, 0], features[usual])
+    assert np.allclose(judge.spread, np.maximum(np.quantile(off, 0.9, axis=0), 1e-3), rtol=1e-14)
+    score, _ = judge.anomalous(base[ok, 0], features[ok])
+    assert np.isclose(judge.limit, _threshold(score, good[ok]), rtol=1e-12)
+    # each tree has its own draw of all rows, and reruns agree
+    stats = quality.measure(rows).where(f"not {quality._FAILS}")
+    drawn = quality.draws(stats, lambda b: quality._columns(b, quality.FEATURES))
+    again = quality.draws(stats.repartition(5), lambda b: quality._columns(b, quality.FEATURES))
+    assert all(len(a) == quality.PER_TREE and (a == b).all() for a, b in zip(drawn, again))
+    every, met = {tuple(x) for x in features[ok]}, {tuple(x) for d in drawn for x in d}
+    assert met <= every and len(met) > 0.9 * len(every)
+    none = quality.Judge.fit(rows.select("doc_id", "text"))
+    score, _ = none.anomalous(base[ok, 0], features[ok])
+    assert np.isclose(none.limit, np.quantile(score, 0.99), rtol=1e-12)
