@@ -11,6 +11,8 @@ alone, so occurrences never overlap and a round is a few array operations.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json as json_format
 import math
 import zlib
@@ -34,8 +36,8 @@ FEW = 60
 #: Bytes of text in a task's sorted range of ids, and the number of ranges from which they grow instead: sorting spills, and shards bound the rest
 RANGE_BYTES = 16 << 20
 MOST_RANGES = 20_000
-#: Distinct words whose ids a worker remembers; it starts anew when there are more
-CACHE_WORDS = 900_000
+#: Distinct words whose ids a worker remembers; when there are more it keeps those met again, or none if these are over half
+CACHE_WORDS = 550_000
 LONGEST_CACHED = 64
 #: Rows that are encoded together, and words that are given to the tokenizer as one text
 BATCH_ROWS = 512
@@ -209,6 +211,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        def beside() -> Tokenizer:
+            """A tokenizer of words of letters on the same model in memory; one that has the added tokens too, should letters make one."""
+            return Tokenizer.from_str(json) if any(t.isalpha() for t in self.special) else Tokenizer(self.full.model)
+
         read = json_format.loads(json)
         self.full, self.end_id = Tokenizer.from_str(json), end_id
         self.size = max(self.full.get_vocab_size(with_added_tokens=True), end_id + 1)
@@ -216,10 +222,10 @@ class Encoder:
         self.by_word = read.get("normalizer") == WORD_NORMALIZER and read.get("pre_tokenizer") == WORD_SPLITTER and bool(suffix)
         self.special = [t["content"] for t in read.get("added_tokens", [])]
         if self.by_word:
-            self.lean = Tokenizer.from_str(json)
+            self.lean = beside()
             self.lean.normalizer = None
             self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-            self.letters = Tokenizer.from_str(json)
+            self.letters = beside()
             self.letters.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
             self.letters.pre_tokenizer = self.lean.pre_tokenizer
             self.ends_word = np.zeros(self.size, bool)
@@ -232,8 +238,21 @@ class Encoder:
         """Piece number -> ids: piece 0 has none, piece 1 is the document's end."""
         self.known: dict[str, int] = {"": 0}
         self.flat, self.starts, self.lengths, self.n_flat, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0, 0
+        self.again = np.zeros(CACHE_WORDS, bool)
         self._learn(np.array([self.end_id]), np.array([0, 1]))
 
+    def _forget_most(self) -> None:
+        """Forgets the pieces that were met in one batch alone."""
+        kept = [(w, k) for w, k in self.known.items() if w and k < len(self.again) and self.again[k]]
+        if 2 * len(kept) > CACHE_WORDS:
+            kept = []
+        old = np.array([k for _, k in kept], np.int64)
+        lengths = self.lengths[old]
+        ids = self.flat[_spread(self.starts[old], lengths)]
+        self._forget()
+        self._learn(ids, lengths)
+        self.known.update(zip([w for w, _ in kept], range(2, self.n)))
+
     def _ends_letters(self, c: str) -> bool:
         """Whether a word's piece that ends in this character ends before a mark."""
         if c not in self.ends:
@@ -307,8 +326,8 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
-            self._forget()
-        known, apart = self.known, self._ends_letters
+            self._forget_most()
+        known, apart, before = self.known, self._ends_letters, min(self.n, len(self.again))
         heads = [h if len(h := w.rstrip(_TAIL)) < len(w) and h and apart(h[-1]) else w for w in words]
         tails = [w[len(h) :] for w, h in zip(words, heads)]
         new = [p for p in {*heads, *tails} if p not in known]
@@ -317,6 +336,7 @@ class Encoder:
         piece = np.empty((len(words), 2), np.int64)
         piece[:, 0] = [known[p] for p in heads]
         piece[:, 1] = [known[p] for p in tails]
+        self.again[piece[piece < before]] = True
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
@@ -341,6 +361,17 @@ def _encoder(json: str, end_id: int) -> Encoder:
     return _ENCODERS[key]
 
 
+def _release() -> None:
+    """A worker outlives a stage: what it remembers of words goes back to the system before others need the memory."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 SHARD = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("first_free", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.binary()), ("doc_ends", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary()), ("symbols", pa.binary())])
 SHARD_SQL = "part int, no int, start_in_part long, n_ids long, first_free long, doc_ids array<long>, doc_lengths binary, doc_ends binary, rules binary, expansions binary, symbols binary"
 
@@ -440,6 +471,7 @@ def read_ids(spark: SparkSession, path: str, digest) -> DataFrame:
     schema = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("value", pa.int64())])
 
     def run(batches):
+        _release()
         for batch in slices(batches, 1):
             row = batch.to_pylist()[0]
             shard = Shard(row)

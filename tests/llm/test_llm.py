@@ -367,6 +367,25 @@ def test_edited_copies_meet_at_the_text_they_were_made_from(spark, monkeypatch):
     assert asked[1] == 0
 
 
+def test_words_met_again_are_kept_when_others_are_forgotten(spark, monkeypatch, tmp_path):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(repair_ids, "CACHE_WORDS", 60)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as file:
+        encoder = repair_ids.Encoder(file.read())
+    for k in range(30):
+        text = f"same, words again {' '.join(f'Word{k}x{j}é!' for j in range(12))}"
+        ids, n = encoder.encode(pa.array([text, None]))
+        assert ids.tolist() == [*encoder.full.encode(text, add_special_tokens=False).ids, 1, 1] and n.tolist() == [len(ids) - 1, 1]
+        assert len(encoder.known) <= 60 + 30 and (k < 1 or {"same", "words", "again"} <= set(encoder.known))
+    assert encoder.lean.model is not None and encoder.n_flat < 2000
+    repair_ids._ENCODERS["held"] = encoder
+    repair_ids._release()
+    assert not repair_ids._ENCODERS
+
+
 def _threshold(scores, good):
     levels = np.unique(scores)
     bars = np.concatenate([(levels[1:] + levels[:-1]) / 2, levels[-1:]])
