@@ -423,3 +423,62 @@ def test_quality_learns_from_every_row(spark):
     none = quality.Judge.fit(rows.select("doc_id", "text"))
     score, _ = none.anomalous(base[ok, 0], features[ok])
     assert np.isclose(none.limit, np.quantile(score, 0.99), rtol=1e-12)
+
+
+def test_every_word_has_the_class_that_gains_most(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    names, verbs = [f"n{k}x" for k in range(60)], [f"v{k}x" for k in range(60)]
+    texts_ = [" ".join(f"the {rng.choice(names)} will {rng.choice(verbs)}" for _ in range(12)) for _ in range(150)]
+    monkeypatch.setattr(brown, "WORD_UNITS", 10)
+    monkeypatch.setattr(brown, "CORE_WORDS", 20)
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(3)
+    words, placed = brown.vocabulary(docs)
+    of = {bytes(r["word"]).decode(): r["class"] for r in placed.collect()}
+    tokens = " ".join(texts_).split()
+    assert {bytes(r["word"]).decode(): r["c"] for r in placed.collect()} == {w: tokens.count(w) for w in set(tokens) if w in of}
+    assert len(of) == len(set(tokens)) - 10
+    # all end alike: endings alone could not tell names from verbs
+    assert not {of[w] for w in names if w in of} & {of[w] for w in verbs if w in of}
+    of |= {w.decode(): g for w, (_, g) in words.core.items()}
+    seq = {r["doc_id"]: list(r["classes"]) for r in brown.sequences(docs, words, placed).collect()}
+    assert all(seq[k] == [*(of[w] for w in t.split()), 0] for k, t in enumerate(texts_))
+    model, _ = brown.train(docs)
+    pairs = np.zeros_like(model.transition)
+    for k in seq:
+        for a, b in zip([0, *seq[k]], seq[k]):
+            pairs[a, b] += 1
+    want = brown.Model(words, pairs)
+    assert np.allclose(model.transition, want.transition) and np.allclose(model.emission_base, want.emission_base)
+    found = {r["doc_id"]: r["score"] for r in brown.score(docs, model, placed).collect()}
+    count = {w: tokens.count(w) for w in set(tokens)} | {"": len(texts_)}
+    for k, t in enumerate(texts_[:20]):
+        steps = [model.transition[a, b] - model.emission_base[b] + np.log10(count[w] + 0.1) for a, b, w in zip([0, *seq[k]], seq[k], [*t.split(), ""])]
+        assert np.isclose(found[k], sum(steps))
+
+
+def test_gain_of_a_class_is_that_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    g, xlogx = 6, brown._xlogx
+    table_ = rng.integers(40, 400, (g, g)).astype(float)
+    sides = rng.integers(0, 4, (2, 30, g)) * rng.integers(0, 2, (2, 30, g))
+    sides[1, :, 1] += np.maximum(0, sides[0].sum(1) - sides[1].sum(1))
+    sides[0, :, 1] += np.maximum(0, sides[1].sum(1) - sides[0].sum(1))
+    sides[:, :, 1] += 1
+    now = rng.integers(1, g, 30)
+    w, side, h = np.nonzero(sides.transpose(1, 0, 2))
+    got = brown.best_classes(table_, w, side * brown.CLASSES + h, sides[side, w, h], now)
+
+    def value(t):
+        return xlogx(t).sum() - xlogx(t.sum(1)).sum() - xlogx(t.sum(0)).sum()
+
+    for k in range(30):
+        without = table_.copy()
+        without[:, now[k]] -= sides[0, k]
+        without[now[k]] -= sides[1, k]
+        values = []
+        for to in range(1, g):
+            t = without.copy()
+            t[:, to] += sides[0, k]
+            t[to] += sides[1, k]
+            values.append(value(t))
+        assert values[got[k] - 1] >= max(values) - 0.35
