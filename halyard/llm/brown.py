@@ -33,7 +33,7 @@ ADDED = 0.1
 #: Counts of a word's neighbours up to which a word's gains are looked up
 SMALL = 16
 #: Places of neighbours that a task holds before it adds them up
-PLACES = 2_000_000
+PLACES = 1_000_000
 #: Distinct words a task counts before it hands them on
 FLUSH = 300_000
 #: The end token; no word is empty
