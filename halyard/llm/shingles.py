@@ -12,10 +12,14 @@ found.  The order puts shingles that are common in a sample of the texts last:
 which ones it holds changes the work, never the result.
 
 Where many sets meet at a shingle, each is first compared with the smallest, the
-largest and the most central of them alone: the one of whose prefix the largest
-part is shared, which in a group of edited copies is the text they were made
-from.  What these links join needs no further comparison.  Only pairs of sets
-that are still in different components follow.
+largest and the most central of them alone: the one whose prefix is shared with
+most others, by the mean of the logarithms of their numbers, which in a group of
+edited copies is the text they were made from.  What these links join needs no further comparison.  Only pairs of sets
+that are still in different components follow: all of them where few sets meet.
+A crowd is dealt anew around its most central set, the pivot: most of its sets
+share the pivot's shingles, so they meet again only at shingles that they have
+and the pivot has not, or at shingles that the pivot has and both have not
+(``around``).  Similar sets still meet, those that only resemble the pivot don't.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ SAMPLE_DOCS, SAMPLE_PART = 5000, 1 / 16
 COMMON, MOST_COMMON = 4, 500_000
 #: Bits of a set's parity sketch
 PARITY = 1024
+#: Sets at a shingle up to which all pairs are compared; larger crowds are dealt anew once, and on (ROUNDS times at most) while they have more pairs than CROWD a row
+CROWD, ROUNDS = 32, 4
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -61,6 +67,15 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(31)))
 
 
+def _ordered(found: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The elements in the one order of all shingles: common ones last."""
+    s, met = common
+    if not len(s) or not len(found):
+        return found
+    at = np.minimum(np.searchsorted(s, found), len(s) - 1)
+    return found[np.argsort(np.where(s[at] == found, met[at], 0), kind="stable")]
+
+
 def _key(found: np.ndarray) -> int:
     """A set's number: signed 64 bits."""
     return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
@@ -99,14 +114,10 @@ def _prefixes(common):
     schema = pa.schema([("doc_id", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("parity", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batch):
-        s, met = common.value
         out = {"doc_id": batch.column(0), "set": [], "n": [], "fp": [], "parity": [], "prefix": []}
         for text in batch.column(1).to_pylist():
             found = shingle_set(text)
-            first = found
-            if len(s) and len(found):
-                at = np.minimum(np.searchsorted(s, found), len(s) - 1)
-                first = found[np.argsort(np.where(s[at] == found, met[at], 0), kind="stable")]
+            first = _ordered(found, common.value)
             out["set"].append(_key(found))
             out["n"].append(len(found))
             out["fp"].append(int(np.uint64(majority(found)).view(np.int64)))
@@ -117,6 +128,23 @@ def _prefixes(common):
     return per_batch(run, schema)
 
 
+def _packed_texts(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set, packed): a compressed text of each set in pairs(a, b)."""
+    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    ends = cut(ends.join(sets.select("set", "least"), "set"), "ends")
+    packed = pa.schema([("set", pa.int64()), ("packed", pa.binary())])
+
+    def pack(batch):
+        texts = batch.column(0).to_pylist()
+        return {"set": [_key(shingle_set(t)) for t in texts], "packed": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts]}
+
+    texts = docs.join(ends.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
+    held = texts.mapInArrow(per_batch(pack, packed), "set long, packed binary").join(ends.select("set"), "set", "left_semi").dropDuplicates(["set"])
+    held = cut(held, "packed-texts")
+    discard(ends)
+    return held
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that are similar; docs(doc_id, text) and sets(set, least, n, parity) give their texts.
 
@@ -134,17 +162,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (sets.select(F.col("set").alias(c), F.col("parity").alias(f"p{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
     pairs = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", "pa", "pb", (F.col("na") + F.col("nb")).alias("n"))
     pairs = cut(pairs.mapInArrow(per_batch(near, schema), "a long, b long"), "pairs")
-    ends = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
-    ends = cut(ends.join(sets.select("set", "least"), "set"), "ends")
-    packed = pa.schema([("set", pa.int64()), ("packed", pa.binary())])
-
-    def pack(batch):
-        texts = batch.column(0).to_pylist()
-        return {"set": [_key(shingle_set(t)) for t in texts], "packed": [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in texts]}
-
-    texts = docs.join(ends.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    held = texts.mapInArrow(per_batch(pack, packed), "set long, packed binary").join(ends.select("set"), "set", "left_semi").dropDuplicates(["set"])
-    held = cut(held, "packed-texts")
+    held = _packed_texts(pairs, docs, sets)
 
     def check(batch):
         # a text is unpacked once for pairs that follow each other
@@ -158,7 +176,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     both = pairs.join(held.select(F.col("set").alias("a"), F.col("packed").alias("x")), "a").join(held.select(F.col("set").alias("b"), F.col("packed").alias("y")), "b")
     out = cut(both.select("a", "b", "x", "y").mapInArrow(per_batch(check, schema), "a long, b long"), "similar")
-    discard(pairs, ends, held)
+    discard(pairs, held)
     return out
 
 
@@ -188,32 +206,112 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     here, entry = Window.partitionBy("s"), F.struct("n", "set", "at")
     met = sets.select("set", F.col("n").cast("int").alias("n"), F.size("prefix").alias("size"), F.posexplode("prefix").alias("at", "s")).withColumn("held", F.count("*").over(here))
     met = cut(met.withColumn("low", F.min(entry).over(here)).withColumn("high", F.max(entry).over(here)).where("held > 1"), "meetings")
-    part = met.groupBy("set").agg((F.count("*") / F.first("size")).alias("part"))
-    central = cut(met.join(part, "set").groupBy("s").agg(F.max_by(entry, F.struct("part", "set")).alias("central")), "central")
+    part = met.groupBy("set").agg((F.sum(F.log2("held")) / F.first("size")).alias("part"))
+    met, bare = cut(met.join(part, "set"), "parts"), met
+    discard(bare)
+    central = cut(met.groupBy("s").agg(F.max_by(entry, F.struct("part", "set")).alias("central")), "central")
     first = met.join(central, "s").withColumn("l", F.explode(F.array_distinct(F.array("low", "high", "central")))).where((F.col("set") != F.col("l.set")) & _may(F.col("n"), F.col("at"), F.col("l.n"), F.col("l.at")))
     first = first.select(F.least("set", "l.set").alias("a"), F.greatest("set", "l.set").alias("b"))
     one = _verified(first.unionByName(close), docs, sets)
     joined = cut(connected_components(one), "first-components")
     # pairs of different components that meet somewhere else than with a leader
     placed = met.where("held > 2").join(joined.withColumnRenamed("node", "set"), "set", "left")
-    placed = cut(placed.select("s", "set", "n", "at", F.coalesce("component", "set").alias("g")), "placed")
+    placed = cut(placed.select("s", "set", "n", "at", "part", F.coalesce("component", "set").alias("g"), F.lit(False).alias("near")), "placed")
     discard(met, central, joined, close)
-    here = cut(placed.groupBy("s", "g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "component-places")
-    several = here.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s")
-    shared = cut(here.join(several, "s", "left_semi"), "shared-places")
-    discard(here)
-    x, y = (shared.select("s", F.col("g").alias(f"g{k}"), F.col("low").alias(f"low{k}"), F.col("high").alias(f"high{k}")) for k in (1, 2))
-    reach = (F.col("high1") * DENOMINATOR >= F.col("low2") * NUMERATOR) & (F.col("high2") * DENOMINATOR >= F.col("low1") * NUMERATOR)
-    across = x.join(y, "s").where((F.col("g1") < F.col("g2")) & reach).select("s", "g1", "g2")
-    a, b = (placed.select("s", F.col("g").alias(f"g{k}"), F.col("set").alias(c), F.col("n").alias(f"n{k}"), F.col("at").alias(f"at{k}")) for k, c in ((1, "a"), (2, "b")))
-    rest = across.join(a, ["s", "g1"]).join(b, ["s", "g2"]).where(_may(F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2")))
-    rest = _verified(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), docs, sets)
+    pairs, links = _apart(placed, docs, sets, common)
+    rest = _verified(pairs, docs, sets).unionByName(links)
     found = cut(connected_components(one.unionByName(rest)), "components")
     out = cut(sets.select("set", "least").join(found.withColumnRenamed("node", "set"), "set", "left").select("set", "least", F.coalesce("component", "set").alias("component")), "groups")
-    discard(placed, shared, one, rest, found, sets)
+    discard(one, pairs, links, found, sets)
     return out
 
 
+def around(found: np.ndarray, base: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> tuple[bool, np.ndarray, np.ndarray, int]:
+    """Whether a set is similar to a pivot, what it has and the pivot has not, what the pivot has and it has not, and how many of these count in full.
+
+    Of two similar sets that are not both similar to the pivot, either the first
+    lists share an element, or the second ones share one that counts in full for
+    one of the two.  With the pivot's elements last in the order, the first list
+    is the prefix: a similar set shares needed(n) elements, and if more than the
+    pivot can give, then one of the first n - needed(n) + 1 others.  If not, and no
+    such element is shared, let d of the pivot's m elements be missing in a set
+    of n.  Similar sets then have NUMERATOR / (NUMERATOR + DENOMINATOR) of their
+    sizes' sum in common, all of it the pivot's, which bounds what both miss from
+    below: beside a set that is not similar to the pivot (the elements that count
+    in full), and beside any (all that are listed, if this one is not similar).
+    """
+    added, missing = np.setdiff1d(found, base, assume_unique=True), np.setdiff1d(base, found, assume_unique=True)
+    n, m, d = len(found), len(base), len(missing)
+    both, t = n - len(added), NUMERATOR + DENOMINATOR
+    near = DENOMINATOR * both >= NUMERATOR * (n + m - both)
+    first = _ordered(added, common)[: n - needed(n) + 1]
+    if both < needed(n):
+        return near, first, missing[:0], 0
+    full = max(0, min(d, d - (t * d + NUMERATOR * (n - m)) // t))
+    listed = full if near else max(full, min(d, d + 1 - -(-(t * d + NUMERATOR * n - DENOMINATOR * m) // t)))
+    return near, first, _ordered(missing, common)[:listed], full
+
+
+def _again(common):
+    """(set, b, n, g, part, near, keys, at) of (set, b, n, g, part, x, y): where a set meets others of its crowd around the pivot b; at is -1 at what doesn't count in full."""
+    schema = pa.schema([("set", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("part", pa.float64()), ("near", pa.bool_()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+
+    def run(batch):
+        out = {f.name: batch.column(k) if k < 5 else [] for k, f in enumerate(schema)}
+        last, base = None, None
+        for b, p, q in zip(*(batch.column(k).to_pylist() for k in (1, 5, 6))):
+            if b != last:
+                last, base = b, _unpacked(q)
+            near, first, missing, full = around(_unpacked(p), base, common.value)
+            salt = np.uint64(b * int(_B) % (1 << 64))
+            keys = np.concatenate([first ^ salt, (missing ^ salt) + _A])
+            out["near"].append(bool(near))
+            out["keys"].append(((keys ^ (keys >> np.uint64(30))) * _A).view(np.int64))
+            out["at"].append(np.concatenate([np.arange(len(first)), np.where(np.arange(len(missing)) < full, 0, -1)]).astype(np.int32))
+        return out
+
+    return per_batch(run, schema)
+
+
+def _apart(placed: DataFrame, docs: DataFrame, sets: DataFrame, common) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets of different components g to be compared, and links (a, b) found; placed(s, set, n, at, part, g, near) is used up.
+
+    Among the sets at an s all similar pairs are to be found, but for those that are both near.
+    """
+    pairs, links, empty = [], [], sets.select(F.col("set").alias("a"), F.col("set").alias("b")).where("false")
+    rows = placed.count()
+    for turn in range(ROUNDS + 1):
+        crowd = placed.groupBy("s").agg(F.count("*").alias("held"), F.min("g").alias("least"), F.max("g").alias("most"), F.max_by("set", F.struct("part", "set")).alias("pivot"))
+        here = cut(placed.join(crowd.where("least != most"), "s"), "crowds")
+        large = here.where(F.col("held") > CROWD).agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
+        anew = turn < ROUNDS and large > (2 * CROWD * rows if turn else 0)
+        few = here.where(F.col("held") <= CROWD) if anew else here
+        x, y = (few.select("s", F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("g").alias(f"g{c}"), F.col("near").alias(f"near{c}")) for c in "ab")
+        meet = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & ~(F.col("neara") & F.col("nearb")) & ((F.col("ata") >= 0) | (F.col("atb") >= 0))
+        meet &= _may(F.col("na"), F.greatest("ata", F.lit(0)), F.col("nb"), F.greatest("atb", F.lit(0)))
+        pairs.append(cut(x.join(y, "s").where(meet).select("a", "b"), "apart"))
+        asked = cut(here.where((F.col("held") > CROWD) & (F.col("set") != F.col("pivot"))).select("set", F.col("pivot").alias("b"), "n", "g", "part").distinct(), "asked") if anew else None
+        discard(placed, here)
+        if asked is None:
+            break
+        held = _packed_texts(asked.select(F.col("set").alias("a"), "b"), docs, sets)
+        both = asked.join(held.select("set", F.col("packed").alias("x")), "set").join(held.select(F.col("set").alias("b"), F.col("packed").alias("y")), "b")
+        dealt_anew = cut(both.select("set", "b", "n", "g", "part", "x", "y").mapInArrow(_again(common), "set long, b long, n int, g long, part double, near boolean, keys array<long>, at array<int>"), "dealt-anew")
+        links.append(cut(dealt_anew.where("near").select(F.col("set").alias("a"), "b"), "pivot-links"))
+        placed = dealt_anew.select("set", "n", "part", "g", "near", F.explode(F.arrays_zip("keys", "at")).alias("k")).select(F.col("k.keys").alias("s"), "set", "n", F.col("k.at").alias("at"), "part", "g", "near")
+        placed = cut(placed, "placed")
+        discard(asked, held, dealt_anew)
+    tables = [*pairs, *links]
+    out = []
+    for parts, name in ((pairs, "all-apart"), (links, "all-pivot-links")):
+        whole = empty
+        for p in parts:
+            whole = whole.unionByName(p)
+        out.append(cut(whole.distinct(), name))
+    discard(*tables)
+    return out[0], out[1]
+
+
 def _close(sets: DataFrame) -> DataFrame:
     """(a, b): each set with the smallest set of its component of SimHash fingerprints."""
     points = cut(sets.select("fp").distinct(), "points")

@@ -367,6 +367,52 @@ def test_edited_copies_meet_at_the_text_they_were_made_from(spark, monkeypatch):
     assert asked[1] == 0
 
 
+def test_a_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 8))
+    first = [word() for _ in range(150)]
+    made = [first]
+    for k in range(200):
+        ws = list(first)
+        for at in rng.choice(28, 4 if k % 4 else 3, replace=False) * 5 + 5:
+            ws[at] = word()
+        made.append(ws)
+        if k % 5 == 1:  # a twin, which is linked to this copy alone
+            made.append([*ws[:-1], word()])
+    asked, whole = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, *a: (asked.append(pairs.count()), whole(pairs, *a))[1])
+    monkeypatch.setattr(shingles, "CROWD", 2, raising=False)
+    rows = spark.createDataFrame([(k, " ".join(ws)) for k, ws in enumerate(made)], "doc_id long, text string").repartition(3)
+    found = {r["least"]: r["component"] for r in shingles.groups(rows).collect()}
+    sets, group = [shingles.shingle_set(" ".join(ws)) for ws in made], list(range(len(made)))
+    for a in range(len(made)):
+        for b in range(a):
+            if group[a] != group[b] and shingles.similar(sets[a], sets[b]):
+                group = [min(group[a], group[b]) if g in (group[a], group[b]) else g for g in group]
+    assert len(set(group)) > 100
+    assert len(set(zip(group, (found[k] for k in range(len(made)))))) == len(set(group)) == len(set(found.values()))
+    assert asked[1] < 2 * len(made)
+
+
+def test_similar_sets_meet_around_a_pivot():
+    rng = np.random.default_rng(19)
+    met = 0
+    for _ in range(3000):
+        base = rng.choice(60, int(rng.integers(15, 45)), replace=False).astype(np.uint64)
+        sizes = np.sort(base), np.sort(rng.choice(base, int(rng.integers(10, len(base) + 1)), replace=False))
+        pair = []
+        x = sizes[int(rng.integers(2))]
+        for moves in rng.integers(0, 7, 2):
+            x = np.setxor1d(x, rng.choice(66, int(moves), replace=False).astype(np.uint64))
+            pair.append(x)
+        common = (np.arange(0, 66, 3, dtype=np.uint64), rng.integers(4, 9, 22))
+        (near_x, a, m, full_a), (near_y, b, n, full_b) = (shingles.around(x, sizes[0], common) for x in pair)
+        if shingles.similar(*pair) and not (near_x and near_y):
+            met += 1
+            assert set(a) & set(b) or set(m[:full_a]) & set(n) or set(m) & set(n[:full_b])
+    assert met > 500
+
+
 def test_words_met_again_are_kept_when_others_are_forgotten(spark, monkeypatch, tmp_path):
     import public_tokenizers
     import pyarrow as pa
