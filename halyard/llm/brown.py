@@ -33,7 +33,7 @@ ADDED = 0.1
 #: Counts of a word's neighbours up to which a word's gains are looked up
 SMALL = 16
 #: Places of neighbours that a task holds before it adds them up
-PLACES = 1_000_000
+PLACES = 500_000
 #: Distinct words a task counts before it hands them on
 FLUSH = 300_000
 #: The end token; no word is empty
@@ -178,14 +178,23 @@ def neighbours(docs: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
     def run(batches):
         units, classes = shared.value
         known, names, of = {}, [END], [0]
-        held, n_held = [], 0
+        held, n_held, none = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        sums = none
 
         def summed():
-            """Keys and counts of all that is held: a few arrays of keys, or of pairs of both."""
-            keys = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in held]])
-            n = np.concatenate([np.zeros(0, np.int64), *[c for _, c in held]])
-            keys, at = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(at, n, len(keys)).astype(np.int64)
+            """Keys and counts of all that is held, which is given up: the sums so far, and keys that count once each."""
+            keys, n = sums
+            new = np.sort(np.concatenate([np.zeros(0, np.int64), *held]))
+            held.clear()
+            start = np.nonzero(np.concatenate([[True], new[1:] != new[:-1]]))[0] if len(new) else np.zeros(0, np.int64)
+            times = np.diff(np.append(start, len(new))).astype(np.uint32)
+            new = new[start]
+            at = np.searchsorted(keys, new)
+            known = at < len(keys)
+            known[known] = keys[at[known]] == new[known]
+            n[at[known]] += times[known]
+            at, new, times = at[~known], new[~known], times[~known]
+            return np.insert(keys, at, new), np.insert(n, at, times)
 
         def emit():
             keys, n = summed()
@@ -211,13 +220,13 @@ def neighbours(docs: DataFrame, units: Units, classes: np.ndarray) -> DataFrame:
             c, unit = np.array(codes, np.int64), np.array(of, np.int64)
             cls, rest = classes[unit[c]], np.nonzero((unit > len(units.words))[c])[0]
             keys = c[rest] * (2 * CLASSES)
-            held.append((np.concatenate([keys + cls[rest - 1], keys + CLASSES + cls[rest + 1]]), np.ones(2 * len(rest), np.int64)))
+            held.append(np.concatenate([keys + cls[rest - 1], keys + CLASSES + cls[rest + 1]]))
             n_held += 2 * len(rest)
             if len(known) > FLUSH:
                 yield from emit()
-                known, names, of, held, n_held = {}, [END], [0], [], 0
+                known, names, of, n_held, sums = {}, [END], [0], 0, none
             elif n_held > PLACES:
-                held, n_held = [summed()], 0
+                sums, n_held = summed(), 0
         yield from emit()
 
     return docs.select("text").mapInArrow(run, "word binary, slots binary, counts binary")

@@ -528,3 +528,37 @@ def test_gain_of_a_class_is_that_of_the_likelihood():
             t[to] += sides[1, k]
             values.append(value(t))
         assert values[got[k] - 1] >= max(values) - 0.35
+
+
+def test_counts_of_neighbours_are_summed_in_little_memory(monkeypatch):
+    import tracemalloc
+    from collections import Counter
+    from types import SimpleNamespace as Held
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(brown, "PLACES", 400_000)
+    rng = np.random.default_rng(20)
+    texts = [" ".join(f"w{k}" for k in (rng.random(1000) ** 2 * 3000).astype(int)) for _ in range(2600)]
+    units = brown.Units([b"w0", b"w1"], [b"12", b"77"])
+    classes = np.arange(units.size) % brown.CLASSES
+    docs = Held(sparkSession=Held(sparkContext=Held(broadcast=lambda v: Held(value=v))), select=lambda *a: Held(mapInArrow=lambda run, schema: run))
+    run = brown.neighbours(docs, units, classes)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 100])], ["text"]) for k in range(0, len(texts), 100)]
+    tracemalloc.start()
+    out = list(run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, found = Counter(), Counter()
+    for text in texts:
+        ws = [b"", *text.encode().split(), b""]
+        of = [0, *[int(classes[units.of(w)]) for w in ws[1:-1]], 0]
+        for k in range(1, len(ws) - 1):
+            if ws[k] not in units.words:
+                want[ws[k], of[k - 1]] += 1
+                want[ws[k], brown.CLASSES + of[k + 1]] += 1
+    for batch in out:
+        for word, slots, counts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            found.update({(word, s): int(n) for s, n in zip(slots, np.frombuffer(counts, "<u4"))})
+    assert found == want
+    assert peak < 75 * brown.PLACES, peak
