@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,17 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+@functools.lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """A Python worker outlives its tasks: memory that a task has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema, rows: int = 512):
     """A mapInArrow function from one that turns a small batch into columns."""
 
@@ -41,6 +54,7 @@ def per_batch(fn: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema, ro
             columns = fn(batch)
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
+        give_back()
 
     return run
 

@@ -11,7 +11,6 @@ alone, so occurrences never overlap and a round is a few array operations.
 
 from __future__ import annotations
 
-import ctypes
 import gc
 import json as json_format
 import math
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from halyard.llm.common import pick, slices, table
+from halyard.llm.common import give_back, pick, slices, table
 from halyard.session import scratch
 
 END_ID = 1
@@ -39,9 +38,10 @@ MOST_RANGES = 20_000
 #: Distinct words whose ids a worker remembers; when there are more it keeps those met again, or none if these are over half
 CACHE_WORDS = 550_000
 LONGEST_CACHED = 64
-#: Rows that are encoded together, and words that are given to the tokenizer as one text
+#: Rows that are encoded together, words that are given to the tokenizer as one text, and such texts at a time
 BATCH_ROWS = 512
 JOINED_WORDS = 256
+JOINED_TEXTS = 16
 
 _HASH_BITS = 18
 
@@ -123,7 +123,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, first_free: int, least: int = LE
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        place = np.cumsum(keep) - 1
+        place = np.cumsum(keep, dtype=np.int32)
+        place -= 1
         ends = np.concatenate([[0], place + 1])[ends]
         seq, last = seq[keep], last[keep]
         # from here on pairs can only be frequent where they were, or beside a new symbol
@@ -275,7 +276,10 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.int64), *[np.array(e.ids, np.int64) for e in found]])
 
     def _joined(self, words: list[str], tokenizer, sep: str):
-        return self._ids(tokenizer.encode_batch_fast([sep.join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)], add_special_tokens=False))
+        texts = [sep.join(words[k : k + JOINED_WORDS]) for k in range(0, len(words), JOINED_WORDS)]
+        # what the library returns takes many times the ids' room
+        parts = [self._ids(tokenizer.encode_batch_fast(texts[k : k + JOINED_TEXTS], add_special_tokens=False)) for k in range(0, len(texts), JOINED_TEXTS)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
 
     def _of_letters(self, words: list[str], tokenizer) -> bool:
         """Learns words of one piece each; not if the pieces are more or fewer."""
@@ -315,6 +319,18 @@ class Encoder:
             self._any(rest)
             self.known.update(zip(rest, range(self.n - len(rest), self.n)))
 
+    def _heads(self, words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, list[str]]:
+        """The words without the marks behind them where these are pieces of their own; which words these are, and their marks."""
+        heads = pc.utf8_rtrim(words, _TAIL)
+        n = pc.binary_length(heads).to_numpy(zero_copy_only=False)
+        cut = (n > 0) & (n < pc.binary_length(words).to_numpy(zero_copy_only=False))
+        ends = pc.utf8_slice_codeunits(heads.filter(pa.array(cut)), -1).dictionary_encode()
+        apart = np.array([self._ends_letters(c) for c in ends.dictionary.to_pylist()], bool)
+        cut[cut] = apart[ends.indices.to_numpy(zero_copy_only=False)]
+        at, cut = np.nonzero(cut)[0], pa.array(cut)
+        tails = [w[len(h) :] for w, h in zip(words.filter(cut).to_pylist(), heads.filter(cut).to_pylist())]
+        return pc.if_else(cut, heads, words).dictionary_encode(), at, tails
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each text's number of ids), end ids included."""
         if not self.by_word:
@@ -324,19 +340,21 @@ class Encoder:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > CACHE_WORDS:
             self._forget_most()
-        known, apart, before = self.known, self._ends_letters, min(self.n, len(self.again))
-        heads = [h if len(h := w.rstrip(_TAIL)) < len(w) and h and apart(h[-1]) else w for w in words]
-        tails = [w[len(h) :] for w, h in zip(words, heads)]
-        new = [p for p in {*heads, *tails} if p not in known]
+        known, before = self.known, min(self.n, len(self.again))
+        heads, at, tails = self._heads(coded.dictionary)
+        names = heads.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(known.get, names))
+        new = list({p for p, k in zip(names, found) if k is None} | {p for p in set(tails) if p not in known})
         if new:
             self._add(new)
-        piece = np.empty((len(words), 2), np.int64)
-        piece[:, 0] = [known[p] for p in heads]
-        piece[:, 1] = [known[p] for p in tails]
-        self.again[piece[piece < before]] = True
+            found = list(map(known.__getitem__, names))
+        piece = np.zeros((len(heads), 2), np.int64)
+        found, tails = np.array(found, np.int64), [known[p] for p in tails]
+        piece[:, 0], piece[at, 1] = found[heads.indices.to_numpy(zero_copy_only=False)], tails
+        for met in (found, piece[at, 1]):
+            self.again[met[met < before]] = True
         for w in new:
             if len(w) > LONGEST_CACHED:
                 del known[w]
@@ -366,10 +384,7 @@ def _release() -> None:
     if _ENCODERS:
         _ENCODERS.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
 
 SHARD = pa.schema([("part", pa.int32()), ("no", pa.int32()), ("start_in_part", pa.int64()), ("n_ids", pa.int64()), ("first_free", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lengths", pa.binary()), ("doc_ends", pa.binary()), ("rules", pa.binary()), ("expansions", pa.binary()), ("symbols", pa.binary())])

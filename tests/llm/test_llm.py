@@ -394,6 +394,32 @@ def test_a_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatc
     assert asked[1] < 2 * len(made)
 
 
+def test_few_texts_go_to_the_tokenizer_at_once(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **how):
+            self.most = max(self.most, len(texts))
+            return self.tokenizer.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(repair_ids, "JOINED_WORDS", 3)
+    monkeypatch.setattr(repair_ids, "JOINED_TEXTS", 4, raising=False)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder = repair_ids.Encoder(file.read())
+    encoder.lean, encoder.letters = Counted(encoder.lean), Counted(encoder.letters)
+    marks = ["", "!", "...", "?!", ")", "'s", "²", "!²", "'", ".é"]
+    texts = [" ".join(f"{''.join(chr(97 + (k * j + j) % 26) for j in range(2, 9))}{'é' * (k % 3 == 1)}{'7' * (k % 7 == 2)}{marks[k % 10]}" for k in range(at, at + 40)) for at in range(0, 200, 20)]
+    texts += [None, "", "!! ?", "a", "\u0130!", "x" * 100 + "!" * 50, "e\u0301. I\u0307, \u1e9e;"]
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    whole = [[*e.ids, 1] for e in encoder.full.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)]
+    assert ids.tolist() == [k for x in whole for k in x] and counts.tolist() == [len(x) for x in whole]
+    assert 0 < encoder.lean.most <= 4 and 0 < encoder.letters.most <= 4
+
+
 def test_similar_sets_meet_around_a_pivot():
     rng = np.random.default_rng(19)
     met = 0
