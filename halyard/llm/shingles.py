@@ -20,6 +20,8 @@ A crowd is dealt anew around its most central set, the pivot: most of its sets
 share the pivot's shingles, so they meet again only at shingles that they have
 and the pivot has not, or at shingles that the pivot has and both have not
 (``around``).  Similar sets still meet, those that only resemble the pivot don't.
+Most of these keys are one set's alone; they are left out by a bitmap of the keys
+that occur twice (``repeated``), which may let others pass but holds none back.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +50,9 @@ COMMON, MOST_COMMON = 4, 500_000
 #: Bits of a set's parity sketch
 PARITY = 1024
 #: Sets at a shingle up to which all pairs are compared; larger crowds are dealt anew once, and on (ROUNDS times at most) while they have more pairs than CROWD a row
-CROWD, ROUNDS = 32, 4
+CROWD, ROUNDS = 16, 4
+#: Bits of a key by which keys that occur twice are marked, at most: 8 MB in a worker
+MARK_BITS = 26
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -216,7 +221,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     joined = cut(connected_components(one), "first-components")
     # pairs of different components that meet somewhere else than with a leader
     placed = met.where("held > 2").join(joined.withColumnRenamed("node", "set"), "set", "left")
-    placed = cut(placed.select("s", "set", "n", "at", "part", F.coalesce("component", "set").alias("g"), F.lit(False).alias("near")), "placed")
+    placed = cut(placed.select("s", "set", "n", "at", "part", F.coalesce("component", "set").alias("g")), "placed")
     discard(met, central, joined, close)
     pairs, links = _apart(placed, docs, sets, common)
     rest = _verified(pairs, docs, sets).unionByName(links)
@@ -253,54 +258,136 @@ def around(found: np.ndarray, base: np.ndarray, common: tuple[np.ndarray, np.nda
 
 
 def _again(common):
-    """(set, b, n, g, part, near, keys, at) of (set, b, n, g, part, x, y): where a set meets others of its crowd around the pivot b; at is -1 at what doesn't count in full."""
+    """(set, b, n, g, part, near, keys, at) of (set, b, n, g, part, h, x, y): where a set meets others of its crowd around the pivot b; at is -1 at what doesn't count in full.
+
+    A set that is similar to the pivot takes its component h.
+    """
     schema = pa.schema([("set", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("part", pa.float64()), ("near", pa.bool_()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
     def run(batch):
         out = {f.name: batch.column(k) if k < 5 else [] for k, f in enumerate(schema)}
-        last, base = None, None
-        for b, p, q in zip(*(batch.column(k).to_pylist() for k in (1, 5, 6))):
+        own, theirs, last, base = batch.column(3).to_pylist(), batch.column(5).to_pylist(), None, None
+        for k, (b, p, q) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 6, 7)))):
             if b != last:
                 last, base = b, _unpacked(q)
             near, first, missing, full = around(_unpacked(p), base, common.value)
             salt = np.uint64(b * int(_B) % (1 << 64))
             keys = np.concatenate([first ^ salt, (missing ^ salt) + _A])
+            keys = (keys ^ (keys >> np.uint64(30))) * _A
+            own[k] = theirs[k] if near else own[k]
             out["near"].append(bool(near))
-            out["keys"].append(((keys ^ (keys >> np.uint64(30))) * _A).view(np.int64))
+            out["keys"].append((keys ^ (keys >> np.uint64(31))).view(np.int64))
             out["at"].append(np.concatenate([np.arange(len(first)), np.where(np.arange(len(missing)) < full, 0, -1)]).astype(np.int32))
-        return out
+        return out | {"g": own}
+
+    return per_batch(run, schema)
+
+
+def _flat(column) -> np.ndarray:
+    """The values of a list column of longs, as unsigned."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def repeated(lists: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(bits, marks) of n keys in lists (one column, keys), even 64-bit hashes: for each value of their first ``bits`` bits, whether a key that begins so occurs twice.
+
+    Every key that occurs twice is marked; of the others few are, or, where they
+    are too many for MARK_BITS, more.  A key travels as 4 bytes in the slice that
+    its first bits name.
+    """
+    cuts = max(8, (n >> 20).bit_length())
+    bits = min(MARK_BITS, max(16, cuts + 3, (16 * n).bit_length()))
+    part, out = pa.schema([("slice", pa.int32()), ("held", pa.binary())]), pa.schema([("slice", pa.int32()), ("marks", pa.binary())])
+
+    def split(batches):
+        held, size = [], 0
+
+        def flush():
+            keys = np.sort(np.concatenate(held))
+            at = np.searchsorted(keys, np.arange(1, 1 << cuts, dtype=np.uint64) << np.uint64(64 - cuts))
+            rows = [(k, x) for k, x in enumerate(np.split(((keys >> np.uint64(32 - cuts)) & np.uint64(0xFFFFFFFF)).astype("<u4"), at)) if len(x)]
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x.tobytes() for _, x in rows], pa.binary())], schema=part)
+
+        for batch in batches:
+            held.append(_flat(batch.column(0)))
+            size += len(held[-1])
+            if size > 1 << 20:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def meet(table):
+        x = np.sort(np.concatenate([np.frombuffer(h, "<u4") for h in table["held"].to_pylist()]))
+        marks = np.zeros(1 << (bits - cuts), bool)
+        marks[x[1:][x[1:] == x[:-1]] >> np.uint32(32 - (bits - cuts))] = True
+        return pa.Table.from_arrays([table["slice"][:1], pa.array([zlib.compress(np.packbits(marks).tobytes(), 1)], pa.binary())], schema=out)
+
+    found = lists.mapInArrow(split, "slice int, held binary").groupBy("slice").applyInArrow(meet, "slice int, marks binary").toArrow()
+    marks = np.zeros((1 << cuts, 1 << (bits - cuts - 3)), np.uint8)
+    for k, held in zip(found["slice"].to_pylist(), found["marks"].to_pylist()):
+        marks[k] = np.frombuffer(zlib.decompress(held), np.uint8)
+    return bits, marks.ravel()
+
+
+def is_marked(keys: np.ndarray, found: tuple[int, np.ndarray]) -> np.ndarray:
+    bits, marks = found
+    at = keys >> np.uint64(64 - bits)
+    return (marks[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0
+
+
+def _met_again(marks):
+    """The rows (set, n, g, part, keys, at) with only the keys that are marked."""
+    schema = pa.schema([("set", pa.int64()), ("n", pa.int32()), ("g", pa.int64()), ("part", pa.float64()), ("keys", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+
+    def run(batch):
+        keep = is_marked(_flat(batch.column(4)), marks.value)
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(keep)])[ends], pa.int32())
+        left = [pa.ListArray.from_arrays(ends, batch.column(k).flatten().filter(pa.array(keep))) for k in (4, 5)]
+        return {f.name: batch.column(k) if k < 4 else left[k - 4] for k, f in enumerate(schema)}
 
     return per_batch(run, schema)
 
 
 def _apart(placed: DataFrame, docs: DataFrame, sets: DataFrame, common) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of sets of different components g to be compared, and links (a, b) found; placed(s, set, n, at, part, g, near) is used up.
+    """Pairs (a, b) of sets of different components g to be compared, and links (a, b) found; placed(s, set, n, at, part, g) is used up.
 
-    Among the sets at an s all similar pairs are to be found, but for those that are both near.
+    Among the sets at an s all similar pairs are to be found, but for those of one component.
     """
+    spark = docs.sparkSession
     pairs, links, empty = [], [], sets.select(F.col("set").alias("a"), F.col("set").alias("b")).where("false")
     rows = placed.count()
     for turn in range(ROUNDS + 1):
-        crowd = placed.groupBy("s").agg(F.count("*").alias("held"), F.min("g").alias("least"), F.max("g").alias("most"), F.max_by("set", F.struct("part", "set")).alias("pivot"))
+        crowd = placed.groupBy("s").agg(F.count("*").alias("held"), F.min("g").alias("least"), F.max("g").alias("most"), F.max_by(F.struct("set", "g"), F.struct("part", "set")).alias("pivot"))
         here = cut(placed.join(crowd.where("least != most"), "s"), "crowds")
         large = here.where(F.col("held") > CROWD).agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0]
         anew = turn < ROUNDS and large > (2 * CROWD * rows if turn else 0)
         few = here.where(F.col("held") <= CROWD) if anew else here
-        x, y = (few.select("s", F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("g").alias(f"g{c}"), F.col("near").alias(f"near{c}")) for c in "ab")
-        meet = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & ~(F.col("neara") & F.col("nearb")) & ((F.col("ata") >= 0) | (F.col("atb") >= 0))
+        x, y = (few.select("s", F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}"), F.col("g").alias(f"g{c}")) for c in "ab")
+        meet = (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & ((F.col("ata") >= 0) | (F.col("atb") >= 0))
         meet &= _may(F.col("na"), F.greatest("ata", F.lit(0)), F.col("nb"), F.greatest("atb", F.lit(0)))
         pairs.append(cut(x.join(y, "s").where(meet).select("a", "b"), "apart"))
-        asked = cut(here.where((F.col("held") > CROWD) & (F.col("set") != F.col("pivot"))).select("set", F.col("pivot").alias("b"), "n", "g", "part").distinct(), "asked") if anew else None
-        discard(placed, here)
-        if asked is None:
+        if not anew:
+            discard(placed, here)
             break
+        # of a set's components, all joined in the end, any will do
+        asked = here.where((F.col("held") > CROWD) & (F.col("set") != F.col("pivot.set"))).groupBy("set", F.col("pivot.set").alias("b"))
+        asked = cut(asked.agg(F.first("n").alias("n"), F.min("g").alias("g"), F.first("part").alias("part"), F.min("pivot.g").alias("h")), "asked")
+        discard(placed, here)
         held = _packed_texts(asked.select(F.col("set").alias("a"), "b"), docs, sets)
+
         both = asked.join(held.select("set", F.col("packed").alias("x")), "set").join(held.select(F.col("set").alias("b"), F.col("packed").alias("y")), "b")
-        dealt_anew = cut(both.select("set", "b", "n", "g", "part", "x", "y").mapInArrow(_again(common), "set long, b long, n int, g long, part double, near boolean, keys array<long>, at array<int>"), "dealt-anew")
+        both = both.select("set", "b", "n", "g", "part", "h", "x", "y")
+        dealt_anew = cut(both.mapInArrow(_again(common), "set long, b long, n int, g long, part double, near boolean, keys array<long>, at array<int>"), "dealt-anew")
         links.append(cut(dealt_anew.where("near").select(F.col("set").alias("a"), "b"), "pivot-links"))
-        placed = dealt_anew.select("set", "n", "part", "g", "near", F.explode(F.arrays_zip("keys", "at")).alias("k")).select(F.col("k.keys").alias("s"), "set", "n", F.col("k.at").alias("at"), "part", "g", "near")
+        # most keys are one set's alone: only those met twice become rows
+        marks = spark.sparkContext.broadcast(repeated(dealt_anew.select("keys"), dealt_anew.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]))
+        again = dealt_anew.select("set", "n", "g", "part", "keys", "at").mapInArrow(_met_again(marks), "set long, n int, g long, part double, keys array<long>, at array<int>")
+        placed = again.select("set", "n", "part", "g", F.explode(F.arrays_zip("keys", "at")).alias("k")).select(F.col("k.keys").alias("s"), "set", "n", F.col("k.at").alias("at"), "part", "g")
         placed = cut(placed, "placed")
         discard(asked, held, dealt_anew)
+        marks.unpersist()
     tables = [*pairs, *links]
     out = []
     for parts, name in ((pairs, "all-apart"), (links, "all-pivot-links")):

@@ -394,6 +394,21 @@ def test_a_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatc
     assert asked[1] < 2 * len(made)
 
 
+def test_every_key_that_occurs_twice_is_marked(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    keys = rng.integers(0, 1 << 64, 30_000, dtype=np.uint64, endpoint=False)
+    twice = keys[:4000]
+    lists = np.split(np.concatenate([keys, twice[::-1]]).view(np.int64), np.sort(rng.integers(0, 34_000, 300)))
+    df = spark.createDataFrame([([int(k) for k in x],) for x in lists], "keys array<long>").repartition(5)
+    for most, others in ((26, 0.01), (12, 1.0)):
+        monkeypatch.setattr(shingles, "MARK_BITS", most)
+        found = shingles.repeated(df, 34_000)
+        assert shingles.is_marked(twice, found).all()
+        assert shingles.is_marked(keys[4000:], found).mean() <= others
+    bits, marks = shingles.repeated(df.where("false"), 0)
+    assert not marks.any()
+
+
 def test_few_texts_go_to_the_tokenizer_at_once(monkeypatch):
     import public_tokenizers
     import pyarrow as pa
