@@ -10,51 +10,235 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from halyard.operators.ranks import with_rank
-from halyard.session import cut
+from halyard.session import cut, dealt
+
+
+#: Cells of all grids of a level together, rows that a slab aims at, rows that one task takes, rows that meet pair by pair
+CELLS, SLAB, MOST, PAIRS = 1 << 18, 1 << 15, 1 << 18, 256
+
+
+def _pairs(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over dominated rows, each row with each; no more than some megabytes at a time."""
+    size = np.abs(w.astype(float)).sum()
+    plain, out = size < 2**53 if w.dtype == np.int64 else np.isfinite(size), np.zeros_like(w)
+    step = max(1, (1 << 21) // len(w))
+    for a in range(0, len(w), step):
+        below = np.ones((len(x[a : a + step]), len(w)), bool)
+        for c in x.T:
+            below &= c[None, :] < c[a : a + step, None]
+        out[a : a + step] = below.astype(float) @ w.astype(float) if plain else np.where(below, w, 0).sum(1)
+    return out
+
+
+def _prefixes(sums: np.ndarray) -> np.ndarray:
+    """At each cell of a grid the sum over the cells below it in every coordinate."""
+    out = np.zeros([c + 1 for c in sums.shape], sums.dtype)
+    inner = out[(slice(1, None),) * sums.ndim]
+    inner[...] = sums
+    for k in range(sums.ndim):
+        np.cumsum(inner, axis=k, out=inner)
+    return out
+
+
+def _sums(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The sums of dominated() over rows in memory, coordinates as whole numbers: a grid, then the slabs of each coordinate."""
+    m, d = x.shape
+    if d == 1:
+        order = np.argsort(x[:, 0], kind="stable")
+        return np.concatenate([np.zeros(1, w.dtype), np.cumsum(w[order])])[np.searchsorted(x[order, 0], x[:, 0])]
+    if m <= PAIRS or 3**d > 16 * m:
+        return _pairs(x, w)
+    size = -(-m // max(3, min(-(-m // PAIRS), int((4 * m) ** (1 / d)))))
+    cells, slabs = np.empty_like(x), []
+    for k in range(d):
+        order = np.argsort(x[:, k], kind="stable")
+        v = x[order, k]
+        first = np.searchsorted(v, v)
+        # a value of more than size rows has a cell of its own, other cells have less than 2 * size rows
+        _, numbers = np.unique(2 * (first // size) + (np.searchsorted(v, v, "right") - first > size), return_inverse=True)
+        cells[order, k] = numbers
+        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        slabs += [(k, order[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), m]) if v[a] != v[b - 1]]
+    sums = np.zeros(cells.max(0) + 1, w.dtype)
+    np.add.at(sums, tuple(cells.T), w)
+    out = _prefixes(sums)[tuple(cells.T)]
+    for k, rows in slabs:
+        out[rows] += _sums(np.concatenate([cells[rows, :k], x[rows, k:]], 1), w[rows])
+    return out
+
+
+def _as_double(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Coordinates as doubles in the same order, values apart staying apart; those that a double can't hold become ranks."""
+    kinds = {n: rows.schema[n].dataType for n in names}
+    long = [n for n in names if isinstance(kinds[n], T.LongType)]
+    ends = rows.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in long for f in (F.min, F.max)]).first() if long else {}
+    for n, kind in kinds.items():
+        if isinstance(kind, T.LongType):
+            fits = max(abs(ends[f"{f}_{n}"] or 0) for f in ("min", "max")) <= 2**53
+        else:
+            fits = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.FloatType, T.DoubleType)) or isinstance(kind, T.DecimalType) and kind.precision <= 15
+        if not fits:
+            ranked = cut(with_rank(rows.select(n).distinct(), [n]), "by-coordinate").select(n, F.col("rank0").alias("rank"))
+            rows = rows.join(dealt(ranked), n).drop(n).withColumnRenamed("rank", n)
+        rows = rows.withColumn(n, F.col(n).cast("double"))
+    return rows
+
+
+class _Split:
+    """Groups of rows cut into grids: cells are value ranges between quantiles, a value that fills several has its own."""
+
+    def __init__(self, quantiles: dict[int, list[list[float]]]):
+        self.starts, self.hot, self.shape = {}, {}, {}
+        for g, of in quantiles.items():
+            found = [np.unique(np.array(q, float), return_counts=True) for q in of]
+            self.starts[g], self.hot[g] = [v for v, _ in found], [v[n > 1] for v, n in found]
+            self.shape[g] = tuple(len(a) + len(h) + 1 for a, h in zip(self.starts[g], self.hot[g]))
+        self.grids: dict[int, np.ndarray] = {}
+        self.slabs: dict[tuple[int, int], np.ndarray] = {}
+
+    def cell(self, g: int, k: int, v: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts[g][k], v, "right") + np.searchsorted(self.hot[g][k], v, "left")
+
+    def _met(self, batches, d: int):
+        """(group, batch's rows of it, their coordinates, their cells), batch by batch."""
+        for batch in batches:
+            of = batch.column("grp").to_numpy()
+            x = np.stack([batch.column(f"x{k}").to_numpy() for k in range(d)], 1)
+            for g in np.unique(of).tolist():
+                mine = np.flatnonzero(of == g)
+                if g in self.shape:
+                    yield g, batch.take(pa.array(mine)), x[mine], [self.cell(g, k, x[mine, k]) for k in range(d)]
+
+    def count(self, rows: DataFrame, d: int) -> dict[int, int]:
+        """Sums the weights in every cell, numbers the slabs that have rows of several values and gives each one's rows."""
+        kind = rows.schema["w"].dataType.simpleString()
+
+        def counted(batches):
+            sums, ends = {}, {}
+            for g, batch, x, cells in self._met(batches, d):
+                flat = np.ravel_multi_index(cells, self.shape[g])
+                w = batch.column("w").to_numpy()
+                if g not in sums:
+                    sums[g] = np.zeros(math.prod(self.shape[g]), w.dtype), np.zeros(math.prod(self.shape[g]), np.int64)
+                    ends[g] = [(np.zeros(c, np.int64), np.full(c, np.inf), np.full(c, -np.inf)) for c in self.shape[g]]
+                np.add.at(sums[g][0], flat, w)
+                np.add.at(sums[g][1], flat, 1)
+                for k, (n, low, high) in enumerate(ends[g]):
+                    np.add.at(n, cells[k], 1)
+                    np.minimum.at(low, cells[k], x[:, k])
+                    np.maximum.at(high, cells[k], x[:, k])
+            for g in sums:
+                for k, (s, n, low, high) in enumerate([(*sums[g], None, None), *[(None, *e) for e in ends[g]]]):
+                    at = np.flatnonzero(n)
+                    none = pa.nulls(len(at), pa.float64())
+                    yield pa.RecordBatch.from_pydict({
+                        "grp": np.full(len(at), g, np.int64), "k": np.full(len(at), k - 1, np.int64), "cell": at, "n": n[at],
+                        "s": pa.nulls(len(at), pa.int64() if kind == "bigint" else pa.float64()) if s is None else s[at],
+                        "low": none if low is None else low[at], "high": none if high is None else high[at],
+                    })
+
+        found = rows.select("grp", "w", *[f"x{k}" for k in range(d)]).mapInArrow(counted, f"grp long, k long, cell long, n long, s {kind}, low double, high double")
+        found = found.groupBy("grp", "k", "cell").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        of, at, cell = (found.column(c).to_numpy() for c in ("grp", "k", "cell"))
+        rows_of: dict[int, int] = {}
+        for g in sorted(self.shape):
+            mine = (of == g) & (at == -1)
+            sums = np.zeros(math.prod(self.shape[g]), np.int64 if kind == "bigint" else float)
+            sums[cell[mine]] = found.column("s").filter(pa.array(mine)).to_numpy()
+            self.grids[g] = _prefixes(sums.reshape(self.shape[g]))
+            for k in range(d):
+                mine = (of == g) & (at == k)
+                n, low, high = (found.column(c).filter(pa.array(mine)).to_numpy() for c in ("n", "low", "high"))
+                several = (low != high) & ~np.isin(cell[mine], self.cell(g, k, self.hot[g][k]))
+                self.slabs[g, k] = np.full(self.shape[g][k], -1, np.int64)
+                for c, rows_in in zip(cell[mine][several].tolist(), n[several].tolist()):
+                    self.slabs[g, k][c] = len(rows_of)
+                    rows_of[len(rows_of)] = rows_in
+        return rows_of
+
+    def at_grid(self, rows: DataFrame, d: int) -> DataFrame:
+        """(row_no, s): the weights of the cells below a row's in every coordinate."""
+
+        def taken(batches):
+            for g, batch, _, cells in self._met(batches, d):
+                yield pa.RecordBatch.from_arrays([batch.column("row_no"), pa.array(self.grids[g][tuple(cells)])], names=["row_no", "s"])
+
+        return rows.mapInArrow(taken, f"row_no long, s {rows.schema['w'].dataType.simpleString()}")
+
+    def to_slabs(self, rows: DataFrame, d: int, to: set[int]) -> DataFrame:
+        """A row for each slab it stands in; the coordinates before the slab's own become cells, so no pair meets twice."""
+        wanted = {key: np.where(np.isin(ids, list(to)), ids, -1) for key, ids in self.slabs.items()}
+
+        def spread(batches):
+            for g, batch, x, cells in self._met(batches, d):
+                for k in range(d):
+                    ids = wanted[g, k][cells[k]]
+                    at = np.flatnonzero(ids >= 0)
+                    if len(at):
+                        new = {"grp": ids[at]} | {f"x{j}": cells[j][at].astype(float) if j < k else x[at, j] for j in range(d)}
+                        rest = batch.take(pa.array(at))
+                        yield pa.RecordBatch.from_pydict({c: new[c] if c in new else rest.column(c) for c in batch.schema.names})
+
+        return rows.mapInArrow(spread, rows.schema)
+
+
+def _parts(spread: DataFrame, names: list[str], n: int) -> list[DataFrame]:
+    """Tables (row_no, s) that add up to the sums of dominated(); ``spread`` has grp (0), row_no, w and coordinates as doubles."""
+    d, kind = len(names), spread.schema["w"].dataType.simpleString()
+
+    def met(group: pa.Table) -> pa.Table:
+        at = np.stack([np.unique(group.column(c).to_numpy(), return_inverse=True)[1] for c in names], 1)
+        return pa.table([group.column("row_no"), _sums(at, group.column("w").to_numpy())], names=["row_no", "s"])
+
+    alone = lambda t: t.groupBy("grp").applyInArrow(met, f"row_no long, s {kind}")
+    if n <= SLAB:
+        return [alone(spread)]
+    parts, sizes = [], {0: n}
+    while sizes:
+        ranges = max(3, min(-(-max(sizes.values()) // SLAB), 1024, int((CELLS / len(sizes)) ** (1 / d) + 1e-9)))
+        marks = spread.groupBy("grp").agg(*[F.percentile_approx(c, [i / ranges for i in range(1, ranges)]).alias(c) for c in names]).collect()
+        split = _Split({r["grp"]: [r[c] for c in names] for r in marks})
+        found = split.count(spread, d)
+        parts.append(split.at_grid(spread, d))
+        large = {g: m for g, m in found.items() if m > MOST}
+        if len(large) < len(found):
+            parts.append(alone(split.to_slabs(spread, d, found.keys() - large.keys())))
+        spread, sizes = cut(split.to_slabs(spread, d, set(large)), "slabs") if large else spread, large
+    return parts
 
 
 def dominated(df: DataFrame, x: str | list[str], y: str | None = None, w: str = "w", key: str = "id") -> DataFrame:
     """(key, s): the sum of w over rows below this one in every coordinate, strictly; coordinates as a list, or two names.
 
-    Rows stand at the leaves of a binary tree in the order of the first
-    coordinate, equal values at one leaf.  A row takes, from each left sibling on
-    its way to the root, the weights below it in the other coordinates: the same
-    problem with one coordinate less, each pair of siblings on its own.  The last
-    coordinate is a prefix sum, dealt by value ranges.  A row is copied once a
-    level of each tree; no node's rows meet in one task.  Rows with a null
-    coordinate neither give nor take; equal keys are told apart.
+    Each coordinate is cut into value ranges, and a row takes the weights of the
+    grid's cells below its own in every coordinate.  The pairs left share a range:
+    those of the first coordinate meet in its slabs, those apart there but not in
+    the second in its slabs, and so on, so a row is copied once a coordinate, and
+    not at all where a range has one value.  A slab of more than MOST rows is cut
+    in the same way again.  The driver holds the cells, about CELLS of them (3 to
+    the power of the coordinates, if that is more).  Rows with a null or NaN
+    coordinate neither give nor take; equal keys are told apart.  Whole weights
+    add up exactly; a sum beyond 64 bits is an error.
     """
     xs = [x, y] if y is not None else list(x)
     names = [f"x{k}" for k in range(len(xs))]
-    rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).alias("row_key"), F.col(w).alias("w"), *[F.col(c).alias(n) for c, n in zip(xs, names)]).dropna(subset=names)
+    kind = "long" if isinstance(df.schema[w].dataType, T.IntegralType) else "double"
+    rows = df.select(F.monotonically_increasing_id().alias("row_no"), F.col(key).alias("row_key"), F.coalesce(F.col(w).cast(kind), F.lit(0).cast(kind)).alias("w"), *[F.col(c).alias(n) for c, n in zip(xs, names)]).dropna(subset=names)
     rows = cut(rows, "points")
-    spread, within = rows.drop("row_key").withColumn("gives", F.lit(True)).withColumn("takes", F.lit(True)), []
-    for k, n in enumerate(names[:-1]):
-        ranked = cut(with_rank(spread, [n, "row_no"], within), "by-coordinate")
-        first = ranked.groupBy(*within, n).agg(F.min("rank0").cast("long").alias("leaf"))
-        ranked = ranked.join(first, [*within, n])
-        top = ranked.agg(F.max("n_rows")).first()[0] or 0
-        levels = F.sequence(F.lit(0), F.lit(max(1, (top - 1).bit_length()) - 1))
-        spread = ranked.withColumn(f"level{k}", F.explode(levels)).withColumn("node", F.expr(f"shiftright(leaf, level{k})"))
-        left = F.col("node") % 2 == 0
-        spread = spread.withColumn(f"parent{k}", F.expr("shiftright(node, 1)")).withColumn("gives", F.col("gives") & left).withColumn("takes", F.col("takes") & ~left)
-        spread = spread.where("gives or takes").drop("leaf", "node", "rank0", "n_rows", n)
-        within += [f"level{k}", f"parent{k}"]
-    both = len(names) == 1
-    spread = spread.withColumn("given", F.when(F.col("gives"), F.col("w"))).withColumn("taking", F.col("takes"))
-    last = names[-1]
-    if both:
-        # one coordinate: every row gives and takes, so rows of equal value are taken off again
-        summed = with_rank(spread, [last, "row_no"], within, value="given")
-        below = summed.groupBy(last).agg((F.min_by("prefix", "rank0") - F.min_by("w", "rank0")).alias("s"))
-        got = summed.join(below, last).select("row_no", "s")
+    n, weight = rows.agg(F.count("*"), F.sum(F.abs(F.col("w").cast("decimal(20,0)"))) if kind == "long" else F.lit(0)).first()
+    spread = _as_double(rows.drop("row_key"), names).select(F.lit(0).cast("long").alias("grp"), "row_no", "w", *names)
+    if (weight or 0) < 2**63:
+        parts = _parts(spread, names, n)
     else:
-        # at equal values the receiving side comes first, so they add nothing
-        summed = with_rank(spread.withColumn("later", (~F.col("taking")).cast("int")), [last, "later", "row_no"], within, value="given")
-        got = summed.groupBy("row_no").agg(F.sum(F.when(F.col("taking"), F.col("prefix")).otherwise(F.lit(0))).alias("s"))
-    return rows.join(got, "row_no", "left").select(F.col("row_key").alias(key), F.coalesce("s", F.lit(0)).alias("s"))
+        # high and low halves of the weights, as sums on the way may need more than 64 bits
+        halves = {1 << 32: F.shiftright("w", 32), 1: F.col("w").bitwiseAND(F.lit((1 << 32) - 1))}
+        parts = [p.withColumn("s", F.col("s").cast("decimal(20,0)") * F.lit(by).cast("decimal(11,0)")) for by, half in halves.items() for p in _parts(spread.withColumn("w", half), names, n)]
+    parts = [p.withColumn("row_key", F.lit(None).cast(rows.schema["row_key"].dataType)) for p in parts]
+    sums = functools.reduce(DataFrame.unionByName, [rows.select("row_no", "row_key", F.lit(0).cast(kind).alias("s")), *parts])
+    return sums.groupBy("row_no").agg(F.first("row_key", ignorenulls=True).alias(key), F.sum("s").cast(kind).alias("s")).select(key, "s")
 
 
 def all_orthants(df: DataFrame, x: str | list[str], y: str | None = None, w: str | list = "w", key: str = "id") -> DataFrame:
@@ -78,7 +262,7 @@ def cdf_of_sample(df: DataFrame, xs: list[str], y: str, key: str) -> DataFrame:
     n = df.dropna(subset=xs).count()
     got = dominated(df.select(key, y, *xs), xs, None, y, key)
     own = df.groupBy(key).agg(F.sum(y).alias("own"))
-    return got.join(own, key).select(key, ((F.col("s") + F.col("own")) / max(1, n)).alias("f"))
+    return got.join(dealt(own), key).select(key, ((F.col("s") + F.col("own")) / max(1, n)).alias("f"))
 
 
 #: Rows at a leaf of a kernel sum's first tree, a power of 2; they meet pair by pair
@@ -220,7 +404,7 @@ def laplacian_moments(df: DataFrame, xs: list[str], weights: list[str], terms: l
 
     Terms with a lower power of a coordinate must be among the terms.  Along the
     last coordinate sums decay from row to row, upwards and downwards.  In the
-    others rows stand at the leaves of a binary tree, as in dominated(), LEAF rows
+    others rows stand at the leaves of a binary tree, LEAF rows
     at a leaf of the first one, and meet the rows of the sibling node: the kernel factors at the largest value of the
     left one, so no factor is over 1, and ranges of any width are exact.  Rows of
     one value are told apart by their numbers; rows with a null are left out.
