@@ -185,6 +185,19 @@ class _Split:
         return rows.mapInArrow(spread, rows.schema)
 
 
+def _quantiles(spread: DataFrame, names: list[str], ranges: int) -> dict[int, list[list[float]]]:
+    """For each group the values between its ``ranges`` ranges of about equal counts, coordinate by coordinate."""
+    of = spread.groupBy("grp").agg(*[F.percentile_approx(c, [i / ranges for i in range(1, ranges)]).alias(c) for c in names])
+    # a summary takes a megabyte: beyond a few groups they are made one after the other, from sorted rows
+    conf, setting = spread.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = conf.get(setting)
+    conf.set(setting, "8")
+    try:
+        return {r["grp"]: [r[c] for c in names] for r in of.collect()}
+    finally:
+        conf.set(setting, before)
+
+
 def _parts(spread: DataFrame, names: list[str], n: int) -> list[DataFrame]:
     """Tables (row_no, s) that add up to the sums of dominated(); ``spread`` has grp (0), row_no, w and coordinates as doubles."""
     d, kind = len(names), spread.schema["w"].dataType.simpleString()
@@ -199,8 +212,7 @@ def _parts(spread: DataFrame, names: list[str], n: int) -> list[DataFrame]:
     parts, sizes = [], {0: n}
     while sizes:
         ranges = max(3, min(-(-max(sizes.values()) // SLAB), 1024, int((CELLS / len(sizes)) ** (1 / d) + 1e-9)))
-        marks = spread.groupBy("grp").agg(*[F.percentile_approx(c, [i / ranges for i in range(1, ranges)]).alias(c) for c in names]).collect()
-        split = _Split({r["grp"]: [r[c] for c in names] for r in marks})
+        split = _Split(_quantiles(spread, names, ranges))
         found = split.count(spread, d)
         parts.append(split.at_grid(spread, d))
         large = {g: m for g, m in found.items() if m > MOST}
